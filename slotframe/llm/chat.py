@@ -31,7 +31,7 @@ PART_TYPE = "struct<kind:string,text:string,ref:string,n_tokens:bigint>"
 PARTS_TYPE = f"array<{PART_TYPE}>"
 _ESCAPE = re.compile(r"[\\<]")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
-_PLACE = re.compile(r"<\|(image|audio|document):(\d+)\|>")
+_BODY = re.compile(r"\\(.)|<\|(?:image|audio|document):\d+\|>", re.S)
 
 
 def escape(text: str) -> str:
@@ -102,7 +102,7 @@ def read_turns(formatted: str) -> Iterator[tuple[str, str]]:
 
 def body_text(body: str) -> str:
     """The text of a formatted body without its placeholders."""
-    return unescape(_PLACE.sub("", body) if "<|" in body else body)
+    return _BODY.sub(lambda m: m[1] or "", body)
 
 
 def text_parts(text: Column) -> Column:

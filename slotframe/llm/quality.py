@@ -67,14 +67,13 @@ def measure(t: Texts, limits: Limits) -> dict[str, np.ndarray]:
 
     # lines: spans between line ends, of one text
     ends = np.flatnonzero(t.data == 10)
-    cuts = np.unique(np.concatenate([ends, t.off[1:][np.diff(t.off) > 0]]))
     line_start = np.unique(np.concatenate([ends + 1, t.off[:-1]]))
     line_start = line_start[line_start < len(t.data)]
-    line_end = cuts[np.searchsorted(cuts, line_start)] if len(line_start) else line_start
+    line_owner = np.searchsorted(t.off, line_start, "right") - 1
+    line_end = np.minimum(np.append(ends, len(t.data))[np.searchsorted(ends, line_start)], t.off[line_owner + 1])
     first_word = np.searchsorted(w.start, line_start)
     has_word = np.searchsorted(w.start, line_end) > first_word
-    line_start, line_end = line_start[has_word], line_end[has_word]
-    line_owner = np.searchsorted(t.off, line_start, "right") - 1
+    line_start, line_end, line_owner = line_start[has_word], line_end[has_word], line_owner[has_word]
     key = span_hash(w.p, w.down, line_start, line_end) ^ mix64(line_owner.astype(np.uint64) + np.uint64(1))
     _, line_again = repeated(key)
     n_lines = np.bincount(line_owner, minlength=n)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, materialize, mix64
-from .links import KEYS, components, id_of, pack_keys, star_pairs, verified_edges
+from .links import KEYS, classes, id_of, pack_keys, star_pairs
 from .windows import bucket_count
 
 #: Lines are hashed in runs of about this many characters.
@@ -150,7 +150,7 @@ def fuzzy_line_classes(docs: DataFrame, width: int = 8, least: float = 0.8, band
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary())], names=["_id", "line_no", "digest"])
 
     pairs = star_pairs(own.select("_text").mapInArrow(keys, KEYS))
-    labels = components(verified_edges(pairs, texts, lambda a, b: similar_lines(a, b, width, least)))
+    labels = classes(pairs, texts, lambda a, b: similar_lines(a, b, width, least))
     at = materialize(own.mapInArrow(places, "_id bigint, line_no int, digest binary"), "line-places")
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("d"), F.col("line_no").alias("l"))
     firsts = at.groupBy("digest").agg(F.min(place).alias("f"))

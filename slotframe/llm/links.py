@@ -4,15 +4,19 @@ Entities are texts (documents or lines) named by a 128-bit digest; ``id`` is its
 half.  An id shared by two texts only adds candidates, for verification reads texts and
 edges name digests.
 
-* ``KeyPacker`` packs (key, id) rows of a batch into one blob a bucket.  Ids of a batch
-  that share a key form a star at once and only its centre goes on, so a key that a
-  third of all rows hold costs its bucket one row a batch.
-* ``star_pairs`` makes stars of what a bucket holds.  The centre of a star depends on
-  its key, so texts that meet under several keys meet different centres.
-* ``verified_edges`` verifies pairs.  Texts that fail against their centre are matched
-  with each other in further rounds with twice as many leaders, until none are left.
-* ``components`` runs large-star and small-star rounds, a union-find by minima: partial
-  aggregation and joins that split skewed keys, nothing gathered per node.
+* ``pack_keys`` packs (key, id) rows of a batch into one blob a bucket.  A key that a batch
+  holds twice is known to be shared: its rows go on at once and the bucket gets one of them,
+  so a key that a third of all rows hold costs its bucket one row a batch.
+* ``shared_keys`` gives the rows whose key occurs with two ids or more.
+* ``star_pairs`` pairs each id with the centre of each of its keys: the id that meets the
+  most others over all its keys, which a text that others are copies of does.
+* ``classes`` verifies the pairs and joins them.  Texts that fail against their centre and are
+  still in another class than it are matched with each other in further rounds, a star each,
+  as long as a round finds links.
+* ``components`` runs large-star and small-star rounds, a union-find by minima.
+
+Counts and centres are aggregates with partial sums, and joins split skewed keys: nothing is
+gathered per key or node, and every step is linear in the rows that share a key.
 """
 
 from __future__ import annotations
@@ -21,13 +25,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, mix64, release
+from .common import U64, materialize, release
 from .windows import _split
 
-KEYS = "bucket bigint, key binary, id binary"
+KEYS = "bucket bigint, key binary, id binary, many binary"
 
 
 def digest_columns(text) -> dict:
@@ -41,9 +45,9 @@ def id_of(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big") >> 4
 
 
-def _stars(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (key, id) to the centre of each row's key; rows come back sorted by key, doubles left out, centre first."""
-    order = np.lexsort((mix64(ident.astype(U64) ^ key), key))
+def _runs(key: np.ndarray, ident: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, first of its key, shared): distinct rows sorted by key, and whether a key has several ids or comes from a batch where it has."""
+    order = np.lexsort((~many, ident, key))
     k, i = key[order], ident[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
@@ -51,43 +55,48 @@ def _stars(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k = key[order]
     first = np.ones(len(k), bool)
     first[1:] = k[1:] != k[:-1]
-    return order, np.flatnonzero(first)[np.cumsum(first) - 1] if len(k) else np.empty(0, np.int64)
+    run = np.cumsum(first) - 1
+    shared = (np.bincount(run) > 1) | (np.bincount(run, many[order]) > 0) if len(k) else np.empty(0, bool)
+    return order, first, shared[run]
 
 
 def pack_keys(key: np.ndarray, ident: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Blobs of one batch; bucket -1 holds pairs (centre, id) found in the batch itself."""
-    order, centre = _stars(key, ident)
+    """Blobs of one batch: a row of each key to the key's bucket; rows of shared keys, as they are known, to a negative one."""
+    order, first, shared = _runs(key, ident, np.zeros(len(key), bool))
     key, ident = key[order], ident[order]
-    alone = centre == np.arange(len(key))
-    rows = [(b, key[alone][r].tobytes(), ident[alone][r].tobytes()) for b, r in _split((key[alone] % U64(buckets)).astype(np.int64))]
-    if not alone.all():
-        pairs = np.unique(np.stack([ident[centre[~alone]], ident[~alone]], 1), axis=0)
-        rows += [(-1 - int(abs(pairs[0, 0]) % buckets), pairs[:, 0].tobytes(), pairs[:, 1].tobytes())]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "key", "id"])
+    rows = [(b, *(x[first][r].tobytes() for x in (key, ident, shared))) for b, r in _split((key[first] % U64(buckets)).astype(np.int64))]
+    if shared.any():
+        rows.append((-1 - int(abs(ident[0]) % buckets), key[shared].tobytes(), ident[shared].tobytes(), b""))
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], names=["bucket", "key", "id", "many"])
 
 
-def star_pairs(keys: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) of ids, a the centre."""
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """Distinct rows (key, id) of the keys that two ids or more have."""
 
     def step(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        ident = np.frombuffer(b"".join(table.column("id").to_pylist()), np.int64)
-        if bucket < 0:
-            pairs = np.stack([np.frombuffer(b"".join(table.column("key").to_pylist()), np.int64), ident], 1)
-        else:
-            key = np.frombuffer(b"".join(table.column("key").to_pylist()), U64)
-            order, centre = _stars(key, ident)
-            ident = ident[order]
-            other = np.flatnonzero(centre != np.arange(len(order)))
-            pairs = np.stack([ident[centre[other]], ident[other]], 1)
-        pairs = np.unique(pairs, axis=0)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        key, ident, many = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("key", U64), ("id", np.int64), ("many", bool)))
+        if table.column("bucket")[0].as_py() >= 0:
+            order, _, shared = _runs(key, ident, many)
+            order = order[shared]
+            order = order[~many[order]]  # the others went on from their batch
+            key, ident = key[order], ident[order]
+        return pa.table([pa.array(key.view(np.int64)), pa.array(ident)], names=["key", "id"])
+
+    return keys.groupBy("bucket").applyInArrow(step, "key bigint, id bigint").distinct()
 
-    return keys.groupBy("bucket").applyInArrow(step, "a bigint, b bigint").distinct()
+
+def star_pairs(keys: DataFrame) -> DataFrame:
+    """Distinct candidate pairs (a, b) of ids, a the centre of a key that both have."""
+    rows = materialize(shared_keys(keys), "shared-keys")
+    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    weight = rows.join(size, "key").groupBy("id").agg(F.sum("n").alias("w"))
+    centre = rows.join(weight, "id").groupBy("key").agg(F.max(F.struct("w", F.xxhash64("id").alias("h"), F.col("id").alias("a"))).alias("c"))
+    return rows.join(centre, "key").select(F.col("c.a").alias("a"), F.col("id").alias("b")).filter("a != b").distinct()
 
 
-def verified_edges(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: Callable[[list, list], list]) -> DataFrame:
-    """Edges (x, y) of digests whose texts are similar.
+def classes(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: Callable[[list, list], list]) -> DataFrame:
+    """(node, label) of the digests that are linked with others.
 
     ``texts(ids)`` gives (id, digest, text) of the ids asked for, each text once;
     ``similar`` judges two lists of texts pairwise.
@@ -104,24 +113,23 @@ def verified_edges(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], si
             ok = similar(tx.to_pylist(), ty.to_pylist())
             yield pa.RecordBatch.from_arrays([a, b, x, y, pa.array(ok, pa.bool_())], names=["a", "b", "x", "y", "ok"])
 
-    edges, leaders, done = None, 2, None
+    edges = None
     while True:
         met = pairs.join(left, "a").join(right, "b").filter(F.col("x") != F.col("y")).select("a", "x", "tx", "b", "y", "ty")
         checked = materialize(met.mapInArrow(judge, "a bigint, b bigint, x binary, y binary, ok boolean"), "checked")
         good = checked.filter("ok").select("x", "y")
+        if edges is not None and good.isEmpty():
+            return labels
         edges = good if edges is None else edges.unionByName(good)
-        tried = checked.select("a", "b")
-        done = tried if done is None else done.unionByName(tried)
-        # texts that failed against one centre, matched with the first few of them
-        rank = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))
-        failed = checked.filter("not ok").select("a", "b").distinct().withColumn("r", rank)
-        heads = failed.filter(F.col("r") <= leaders).select("a", F.col("b").alias("head"), F.col("r").alias("hr"))
-        more = failed.join(heads, "a").filter("hr < r").select(F.col("head").alias("a"), "b").distinct()
-        both = done.select("a", "b").unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = materialize(more.join(both, ["a", "b"], "left_anti"), "more-pairs")
-        if more.isEmpty():
-            return edges
-        pairs, leaders = more, 2 * leaders
+        labels = components(edges)
+        # texts of one star that failed and aren't in the centre's class: one of each class, matched with one of them
+        of_x, of_y = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "xy")
+        failed = checked.filter("not ok").join(of_x, "x", "left").join(of_y, "y", "left").withColumns({c: F.coalesce(c, F.col(c[1])) for c in ("lx", "ly")})
+        apart = failed.filter("lx != ly").groupBy("a", "ly").agg(F.min(F.struct(F.xxhash64("b").alias("h"), "b")).alias("s"))
+        head = apart.groupBy("a").agg(F.min("s").alias("t"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        pairs = materialize(apart.join(head, "a").select(F.col("t.b").alias("a"), F.col("s.b").alias("b")).filter("a != b").distinct(), "pairs")
+        if pairs.isEmpty():
+            return labels
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, WORD_POWERS, Texts, Words, materialize, mix64, prefix_hash, seq_hash
-from .links import KEYS, components, digest_columns, pack_keys, star_pairs, verified_edges
+from .links import KEYS, classes, digest_columns, pack_keys, star_pairs
 from .windows import bucket_count
 
 #: Bits of a sort key that hold a shingle's place; texts with more shingles are sketched by exact hashes.
@@ -138,7 +138,7 @@ def similar_texts(left: list, right: list, width: int, least: float) -> list[boo
 
 
 def near_classes(docs: DataFrame, width: int = 5, least: float = 0.8, count: int = 12, size: int = 3, id_col="doc_id", text_col="text") -> DataFrame:
-    """(digest, id, label) of every distinct text: texts of one class share their label, a digest."""
+    """(node, label) of the digests of texts that are linked with others: texts of one class share their label, a digest."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(text.alias("text")).withColumns(digest_columns(F.col("text")))
     buckets = 4 * bucket_count(docs)
@@ -157,9 +157,9 @@ def near_classes(docs: DataFrame, width: int = 5, least: float = 0.8, count: int
                 yield pack_keys(np.concatenate(keys), np.concatenate(owners), buckets)
 
     pairs = star_pairs(own.select("id", "text").mapInArrow(sketch, KEYS))
-    texts = lambda ids: own.join(ids, "id", "left_semi").groupBy("digest").agg(F.first("id").alias("id"), F.first("text").alias("text"))
-    edges = verified_edges(pairs, texts, lambda a, b: similar_texts(a, b, width, least))
-    return components(edges)
+    # a merge join at every size: disk use then grows with the input, not with a change of plan
+    texts = lambda ids: own.join(ids.hint("merge"), "id", "left_semi").groupBy("digest").agg(F.first("id").alias("id"), F.first("text").alias("text"))
+    return classes(pairs, texts, lambda a, b: similar_texts(a, b, width, least))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:

@@ -87,13 +87,14 @@ def tx_meta(tx: DataFrame, p: Programs = Programs()) -> DataFrame:
     loaded = F.least(F.when(v1, F.coalesce(c("config.loaded_limit"), F.lit(0)).cast("bigint")).otherwise(F.when(have(4), last(4, 4).cast("bigint")).otherwise(MAX_LOADED)), F.lit(MAX_LOADED))
     locks = c("_n") - (ro_static + lr)
     sigs, secp, ed, r1 = c("num_signatures"), total(p.secp256k1), total(p.ed25519), total(p.secp256r1)
-    cost = sigs * SIGNATURE + secp * SECP256K1_SIGNATURE + ed * ED25519_SIGNATURE + r1 * SECP256R1_SIGNATURE + locks * WRITE_LOCK + F.expr("0") + F.floor(data_len / 4) + units + F.ceil(loaded / LOADED_PAGE) * PAGE_COST
+    cost = sigs * SIGNATURE + secp * SECP256K1_SIGNATURE + ed * ED25519_SIGNATURE + r1 * SECP256R1_SIGNATURE + locks * WRITE_LOCK + F.floor(data_len / 4) + units + F.ceil(loaded / LOADED_PAGE) * PAGE_COST
     priority_fee = F.when(v1, dec(F.coalesce(c("config.priority_fee"), F.lit(0)))).otherwise(F.ceil(dec(F.coalesce(cu_price, F.lit(0))) * units.cast("decimal(10,0)") / F.lit(MICRO).cast("decimal(7,0)")).cast("decimal(38,0)"))
     priority_fee = F.least(priority_fee, dec(U64))
     base = dec((sigs + secp + ed + r1) * LAMPORTS_PER_SIGNATURE)
     reward = priority_fee + base - F.floor(base * BURN_PERCENT / 100).cast("decimal(38,0)")
     scaled = F.least(reward.cast("decimal(30,0)") * F.lit(MICRO).cast("decimal(7,0)"), dec(U64))
-    priority = F.floor(scaled / (cost + 1).cast("decimal(18,0)")).cast("decimal(20,0)")
+    t = t.withColumns({"_cost": cost.cast("bigint"), "_scaled": scaled})
+    priority = F.expr("cast(_scaled div (_cost + 1) as decimal(20,0))")
 
     heap = F.when(v1, c("config.heap_size").cast("bigint")).when(have(1), last(1, 4).cast("bigint"))
     known_tag = lambda i: F.coalesce(
@@ -121,7 +122,7 @@ def tx_meta(tx: DataFrame, p: Programs = Programs()) -> DataFrame:
         F.when(~is_vote, cu_price).alias("cu_price"),
         F.when(is_vote, 0).otherwise(F.greatest(c("fee") - LAMPORTS_PER_SIGNATURE * sigs, F.lit(0))).alias("prio_fee"),
         F.when(is_vote, LAMPORTS_PER_SIGNATURE).otherwise(c("fee")).alias("txn_fee"),
-        F.when(~bad, cost).cast("bigint").alias("scheduler_cost_units"),
+        F.when(~bad, c("_cost")).alias("scheduler_cost_units"),
         F.when(~bad, priority).alias("scheduler_priority"),
         is_vote.alias("is_vote"),
         c("is_success"),

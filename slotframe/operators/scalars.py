@@ -128,7 +128,7 @@ def f21(spark, d):
 def fixture_messages(spark, d):
     """Transactions shaped as messages, from instructions; a third of each version."""
     names = F.array(*[F.lit(x) for x in ("system", "compute_budget", "program", "vote", "ed25519")])
-    ix = fx.instructions(spark, d).select("slot", "tx_idx", "program_id", "tax", F.struct((F.col("program_id") % 5 + 2).cast("int").alias("program_index"), F.array(F.lit(0), F.lit(1)).alias("accounts"), F.when(F.col("program_id") % 5 == 1, F.expr("unhex(concat('02', hex(reverse(unhex(lpad(hex(data_len * 1000), 8, '0'))))))")).otherwise(F.expr("unhex('01')")).alias("data")).alias("ix"), "err")
+    ix = fx.instructions(spark, d).select("slot", "tx_idx", "program_id", "tax", F.struct((F.col("program_id") % 5 + 2).cast("int").alias("program_index"), F.array(F.lit(0), F.lit(1)).alias("accounts"), F.when(F.col("program_id") % 5 == 1, F.expr("unhex(concat('02', regexp_replace(reverse(lpad(hex(data_len * 1000), 8, '0')), '(.)(.)', '$2$1')))")).otherwise(F.expr("unhex('01')")).alias("data")).alias("ix"), "err")
     tx = ix.groupBy("slot", "tx_idx").agg(F.sort_array(F.collect_list("ix")).alias("instructions"), F.sum("tax").alias("fee"), (~F.bool_or("err")).alias("is_success"))
     v = F.col("tx_idx") % 3
     config = F.struct(F.col("fee").alias("priority_fee"), F.lit(100_000).cast("bigint").alias("compute_unit_limit"), F.lit(65536).cast("bigint").alias("loaded_limit"), F.lit(None).cast("bigint").alias("heap_size"))

@@ -44,8 +44,9 @@ class Programs:
 
 def little_endian(data: Column, start: int, size: int) -> Column:
     """An unsigned number of ``size`` bytes from byte ``start`` (0 first); null if data is shorter."""
-    part = F.substring(data, start + 1, size)
-    return F.when(F.octet_length(data) >= start + size, F.conv(F.hex(F.reverse(part)), 16, 10).cast("decimal(20,0)"))
+    digits = F.hex(F.substring(data, start + 1, size))
+    swapped = F.regexp_replace(F.reverse(digits), "(.)(.)", "$2$1")  # bytes reversed; reverse() itself is for text
+    return F.when(F.octet_length(data) >= start + size, F.conv(swapped, 16, 10).cast("decimal(20,0)"))
 
 
 def first_byte(data: Column) -> Column:

@@ -158,10 +158,10 @@ def a20(spark, d):
 # -- sorts, limits, sets
 
 
-@query("O2_repeated_versions", f"WITH {fx.UPD_SQL}, u AS (SELECT slot, write_version % 97 AS write_version FROM upd) SELECT slot, write_version, count(*) AS times FROM u GROUP BY 1, 2 HAVING count(*) > 1")
+@query("O2_repeated_versions", f"WITH {fx.UPD_SQL}, u AS (SELECT slot, write_version % 7 AS write_version FROM upd) SELECT slot, write_version, count(*) AS times FROM u GROUP BY 1, 2 HAVING count(*) > 1")
 def o2(spark, d):
     """Write versions that a slot has twice: an error to its writer."""
-    u = fx.updates(spark, d).select("slot", (F.col("write_version") % 97).alias("write_version"))
+    u = fx.updates(spark, d).select("slot", (F.col("write_version") % 7).alias("write_version"))
     return u.groupBy("slot", "write_version").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
 
 

@@ -71,6 +71,22 @@ def op10_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT doc_id, i, array_slice(b, i, i + 99) AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+ord AS (SELECT doc_id, i, max(i) OVER w AS far, min(i) OVER (PARTITION BY doc_id ORDER BY i) AS one FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+isl AS (SELECT doc_id, i, sum(CASE WHEN far IS NULL OR i > far + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM ord),
+gone AS (SELECT doc_id, g, min(i) AS a, max(i) + 99 AS z FROM isl GROUP BY doc_id, g),
+cut AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM gone),
+part AS (SELECT doc_id, p + 1 AS s, a - 1 AS e FROM cut UNION ALL SELECT doc_id, max(z) + 1, NULL FROM cut GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(hex(array_slice(b, s, coalesce(e, octet_length(b)))), '' ORDER BY s) AS h FROM part JOIN d USING (doc_id) WHERE coalesce(e, octet_length(b)) >= s GROUP BY doc_id),
+n AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN n.doc_id IS NULL THEN b ELSE unhex(coalesce(h, '')) END) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 OP5_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -129,4 +145,4 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_line_dedup, op2_language_id, op3_mix_sources, op4_suffix_dedup, op5_chat_format, op6_quality_rules, op7_token_output, op8_decontaminate, op9_substring_dedup, op10_near_dedup)
 }
-SQL: dict[str, str] = {"op5_chat_format": OP5_SQL, "op6_quality_rules": OP6_SQL, "op9_substring_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op4_suffix_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op6_quality_rules": OP6_SQL, "op9_substring_dedup": OP9_SQL}

@@ -79,6 +79,16 @@ class Encoder:
         return [h + b"".join(map(get, ws[1:])) if ok else h for h, ws, ok in zip(heads, cut, plain, strict=True)]
 
 
+#: One encoder a path, kept by a Python worker over its tasks: its chunks stay known.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
     fs, at = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
     return fs, at
@@ -158,7 +168,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, length: int
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = Encoder(tokenizer_path)
+                encoder = encoder_for(tokenizer_path)
                 fs, top = _open(out_dir)
                 fs.create_dir(top, recursive=True)
                 part = batch.column(2)[0].as_py()

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import new_dir
 
-#: Chunks whose ids a worker keeps; more are encoded again. At about 250 bytes each.
-CACHE_CHUNKS = 500_000
+#: Chunks whose ids a worker keeps in each of two generations, at about 250 bytes each.
+CACHE_CHUNKS = 400_000
 #: Sequences in a record batch.
 BATCH_ROWS = 256
 
@@ -54,26 +54,45 @@ class Encoder:
         self.tok.no_padding()
         self.tok.no_truncation()
         self.width = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.encode_batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        line_end = self.tok.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.encode_batch(texts, add_special_tokens=False)]
 
+    def _chunks(self, words: list[str]) -> list[bytes]:
+        """The ids of " word" for each word, many in a call: a line end between chunks is a token of its own."""
+        chunks = [" " + w for w in words]
+        if self.line_end is not None:
+            e = self.encode_batch(["\n".join(chunks)], add_special_tokens=False)[0]
+            ids = np.array(e.ids, self.width)
+            cut = np.flatnonzero(ids == self.line_end)
+            if len(cut) == len(chunks) - 1:
+                raw, size = ids.tobytes(), ids.itemsize
+                return [raw[i * size : j * size] for i, j in zip([0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True)]
+        return self._whole(chunks)
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
         cut = [(t or "").split(" ") for t in texts]
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache = {}
-        cache = self.cache
+        if len(self.young) > CACHE_CHUNKS:
+            self.young, self.old = {}, self.young
+        cache = self.young
         plain = [all(w and not w[0].isspace() for w in ws[1:]) for ws in cut]
         need = {w for ws, ok in zip(cut, plain, strict=True) if ok for w in ws[1:]}
         need.difference_update(cache)
+        old = self.old
+        cache.update({w: old[w] for w in need if w in old})
+        need.difference_update(cache)
+        single = [w for w in need if len(w.split()) == 1 and not w[-1].isspace()]
+        for a in range(0, len(single), 1024):
+            cache.update(zip(single[a : a + 1024], self._chunks(single[a : a + 1024]), strict=True))
+        need.difference_update(single)
         if need:
-            need = list(need)
-            for a in range(0, len(need), 4096):
-                part = need[a : a + 4096]
-                cache.update(zip(part, self._whole([" " + w for w in part]), strict=True))
+            cache.update(zip(need, self._whole([" " + w for w in need]), strict=True))
         heads = self._whole([ws[0] if ok else t for t, ws, ok in zip(texts, cut, plain, strict=True)])
         get = cache.__getitem__
         return [h + b"".join(map(get, ws[1:])) if ok else h for h, ws, ok in zip(heads, cut, plain, strict=True)]

@@ -61,7 +61,8 @@ def signatures(lines: list[str], width: int, bins: int) -> np.ndarray:
     at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     h = h[at]
     sig = np.full(len(lines) * bins, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(sig, owner * bins + (h.astype(np.uint64) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), h)
+    cell = (h >> np.uint32(16)) * np.uint32(bins) >> np.uint32(16)
+    np.minimum.at(sig, owner * bins + cell, h)
     sig = sig.reshape(len(lines), bins)
     # an empty bin takes the value of a full one, chosen by a hash of bin and attempt that is the same for all lines
     hole = np.argwhere(sig == 0xFFFFFFFF)
@@ -137,7 +138,7 @@ def fuzzy_line_classes(docs: DataFrame, width: int = 8, least: float = 0.8, band
                 yield pa.RecordBatch.from_arrays([pa.array([id_of(x) for x in d], pa.int64()), pa.array(d, pa.binary()), pa.array(lines, pa.string())], names=["id", "digest", "text"])
 
         every = own.select("_text").mapInArrow(emit, "id bigint, digest binary, text string")
-        return every.join(ids, "id", "left_semi").groupBy("digest").agg(F.first("id").alias("id"), F.first("text").alias("text"))
+        return every.join(ids.hint("merge"), "id", "left_semi").groupBy("digest").agg(F.first("id").alias("id"), F.first("text").alias("text"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,9 +155,10 @@ def fuzzy_line_classes(docs: DataFrame, width: int = 8, least: float = 0.8, band
     at = materialize(own.mapInArrow(places, "_id bigint, line_no int, digest binary"), "line-places")
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("d"), F.col("line_no").alias("l"))
     firsts = at.groupBy("digest").agg(F.min(place).alias("f"))
-    firsts = firsts.join(labels.withColumnRenamed("node", "digest"), "digest", "left")
-    heads = firsts.filter("label is not null").groupBy("label").agg(F.min("f").alias("g"))
-    firsts = firsts.join(heads, "label", "left").select("digest", F.coalesce("g", "f").alias("first"))
+    linked = materialize(firsts.join(labels.withColumnRenamed("node", "digest"), "digest"), "linked-lines")  # a small part of all lines
+    heads = linked.groupBy("label").agg(F.min("f").alias("g"))
+    linked = linked.join(heads, "label").select("digest", "g")
+    firsts = firsts.join(linked, "digest", "left").select("digest", F.coalesce("g", "f").alias("first"))
     out = at.join(firsts, "digest")
     kept = F.col("_id").eqNullSafe(F.col("first.d")) & (F.col("line_no") == F.col("first.l"))
     return out.select(F.col("_id").alias(id_col), "line_no", F.col("first.d").alias("class_doc"), F.col("first.l").alias("class_line"), kept.alias("kept"))

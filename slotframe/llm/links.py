@@ -113,25 +113,43 @@ def classes(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similar:
             ok = similar(tx.to_pylist(), ty.to_pylist())
             yield pa.RecordBatch.from_arrays([a, b, x, y, pa.array(ok, pa.bool_())], names=["a", "b", "x", "y", "ok"])
 
-    edges = None
+    labels = None
     while True:
         met = pairs.join(left, "a").join(right, "b").filter(F.col("x") != F.col("y")).select("a", "x", "tx", "b", "y", "ty")
         checked = materialize(met.mapInArrow(judge, "a bigint, b bigint, x binary, y binary, ok boolean"), "checked")
-        good = checked.filter("ok").select("x", "y")
-        if edges is not None and good.isEmpty():
+        good = checked.filter("ok")
+        if labels is None:
+            labels = materialize(components(good.select("x", "y")), "labels")
+        elif good.isEmpty():
             return labels
-        edges = good if edges is None else edges.unionByName(good)
-        labels = components(edges)
+        else:
+            labels = _merged(labels, _with_labels(good, labels))
         # texts of one star that failed and aren't in the centre's class: one of each class, matched with one of them
-        of_x, of_y = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "xy")
-        failed = checked.filter("not ok").join(of_x, "x", "left").join(of_y, "y", "left").withColumns({c: F.coalesce(c, F.col(c[1])) for c in ("lx", "ly")})
-        apart = failed.filter("lx != ly").groupBy("a", "ly").agg(F.min(F.struct(F.xxhash64("b").alias("h"), "b")).alias("s"))
+        apart = _with_labels(checked.filter("not ok"), labels).filter("lx != ly").groupBy("a", "ly").agg(F.min(F.struct(F.xxhash64("b").alias("h"), "b")).alias("s"))
         head = apart.groupBy("a").agg(F.min("s").alias("t"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         pairs = materialize(apart.join(head, "a").select(F.col("t.b").alias("a"), F.col("s.b").alias("b")).filter("a != b").distinct(), "pairs")
         if pairs.isEmpty():
             return labels
 
 
+def _with_labels(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds the labels lx and ly of x and y; a digest without one is its own."""
+    for c in "xy":
+        links = links.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+    return links
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links between classes: components of the classes alone, then each node's class looked up."""
+    joined = materialize(components(links.select(F.col("lx").alias("x"), F.col("ly").alias("y"))), "classes")
+    by_label = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    moved = labels.join(by_label, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    fresh = joined.join(labels.select("node"), "node", "left_anti")
+    out = materialize(moved.unionByName(fresh), "labels")
+    release(labels)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (x, y); label is the least node of its component."""
     now = materialize(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u != v").distinct(), "edges")

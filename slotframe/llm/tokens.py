@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import new_dir
 
 #: Chunks whose ids a worker keeps in each of two generations, at about 250 bytes each.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 600_000
 #: Sequences in a record batch.
 BATCH_ROWS = 256
 
@@ -81,8 +81,12 @@ class Encoder:
         if len(self.young) > CACHE_CHUNKS:
             self.young, self.old = {}, self.young
         cache = self.young
-        plain = [all(w and not w[0].isspace() for w in ws[1:]) for ws in cut]
-        need = {w for ws, ok in zip(cut, plain, strict=True) if ok for w in ws[1:]}
+        need: set[str] = set()
+        for ws in cut:
+            need.update(ws[1:])
+        odd = {w for w in need.difference(cache) if not w or w[0].isspace()}  # a chunk that is known is none of these
+        plain = [not odd or odd.isdisjoint(ws[1:]) for ws in cut]
+        need -= odd
         need.difference_update(cache)
         old = self.old
         cache.update({w: old[w] for w in need if w in old})

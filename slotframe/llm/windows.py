@@ -295,7 +295,7 @@ class EarlierWindows:
 
     def run(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         parts = bucket_count(docs)
-        buckets = groups = 4 * parts  # more groups than partitions, so that partitions come out even
+        buckets = groups = 2 * parts  # more groups than partitions, so that partitions come out even
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         own = docs.select(F.col(id_col).cast("bigint").alias("_id"), text.alias("_text"))
         keyed = own.withColumns({"_th": F.xxhash64("_text"), "_grp": F.pmod(F.coalesce("_id", F.lit(NULL_ID)), F.lit(groups))})

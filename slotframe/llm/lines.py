@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, materialize, mix64
-from .links import KEYS, classes, id_of, pack_keys, star_pairs
+from .links import KEYS, classes, id_of, pack_keys
 from .windows import bucket_count
 
 #: Lines are hashed in runs of about this many characters.
@@ -97,6 +97,19 @@ def shingle_set(line: str, width: int) -> set[str]:
     return {line[i : i + width] for i in range(max(1, len(line) - width + 1))}
 
 
+def line_shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of a list of lines, repeated ones too, and the first one of each."""
+    sizes = np.array([max(len(x), width) for x in lines])
+    c = np.frombuffer("".join(x.ljust(width, "\0") for x in lines).encode("utf-32-le"), np.uint32).astype(U64)
+    h = c.copy()
+    with np.errstate(over="ignore"):
+        for k in range(1, width):
+            h = h[:-1] * U64(0xC2B2AE3D27D4EB4F) + c[k:]
+    off = np.append(0, np.cumsum(sizes - width + 1))
+    at = np.arange(off[-1]) + np.repeat(np.arange(len(lines)) * (width - 1), np.diff(off))
+    return mix64(h[at]), off
+
+
 def similar_lines(left: list[str], right: list[str], width: int, least: float) -> list[bool]:
     out, last, kept = [], None, set()
     for a, b in zip(left, right, strict=True):
@@ -150,8 +163,7 @@ def fuzzy_line_classes(docs: DataFrame, width: int = 8, least: float = 0.8, band
                     digests.append(digest(s))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary())], names=["_id", "line_no", "digest"])
 
-    pairs = star_pairs(own.select("_text").mapInArrow(keys, KEYS))
-    labels = classes(pairs, texts, lambda a, b: similar_lines(a, b, width, least))
+    labels = classes(own.select("_text").mapInArrow(keys, KEYS), texts, lambda a, b: similar_lines(a, b, width, least), lambda t: line_shingles(t, width), least)
     at = materialize(own.mapInArrow(places, "_id bigint, line_no int, digest binary"), "line-places")
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("d"), F.col("line_no").alias("l"))
     firsts = at.groupBy("digest").agg(F.min(place).alias("f"))

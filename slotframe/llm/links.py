@@ -10,13 +10,16 @@ edges name digests.
 * ``shared_keys`` gives the rows whose key occurs with two ids or more.
 * ``star_pairs`` pairs each id with the centre of each of its keys: the id that meets the
   most others over all its keys, which a text that others are copies of does.
-* ``classes`` verifies the pairs and joins them.  Texts that fail against their centre and are
-  still in another class than it are matched with each other in further rounds, a star each,
-  as long as a round finds links.
+* ``classes`` verifies the pairs and joins them.  The members of a key that are still in several
+  classes go on: of their shingles, in one order by how common they are, each takes so many of
+  the rarest that two similar texts share one (``rarest``).  Each such shingle is a key whose members
+  are compared with changing centres until all left are in one class, so every two members of a
+  key end in one class or are told apart, by their shingles or by a comparison.
 * ``components`` runs large-star and small-star rounds, a union-find by minima.
 
 Counts and centres are aggregates with partial sums, and joins split skewed keys: nothing is
-gathered per key or node, and every step is linear in the rows that share a key.
+gathered per key or node.  Every step up to the rarest shingles is linear in the rows that share a
+key; the comparisons after it grow with the texts that share a rare shingle in different classes.
 """
 
 from __future__ import annotations
@@ -32,6 +35,10 @@ from .common import U64, materialize, release
 from .windows import _split
 
 KEYS = "bucket bigint, key binary, id binary, many binary"
+#: Counters of shingles; a shared one only makes the order of the shingles less good.
+COUNTERS = 1 << 18
+#: Centres of a key in the first further round; four times as many in each one after it.
+CENTRES = 16
 
 
 def digest_columns(text) -> dict:
@@ -86,50 +93,137 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return keys.groupBy("bucket").applyInArrow(step, "key bigint, id bigint").distinct()
 
 
-def star_pairs(keys: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) of ids, a the centre of a key that both have."""
-    rows = materialize(shared_keys(keys), "shared-keys")
+def centres(rows: DataFrame) -> DataFrame:
+    """(key, a) of the rows (key, id): the centre of each key."""
     size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     weight = rows.join(size, "key").groupBy("id").agg(F.sum("n").alias("w"))
     centre = rows.join(weight, "id").groupBy("key").agg(F.max(F.struct("w", F.xxhash64("id").alias("h"), F.col("id").alias("a"))).alias("c"))
-    return rows.join(centre, "key").select(F.col("c.a").alias("a"), F.col("id").alias("b")).filter("a != b").distinct()
+    return centre.select("key", F.col("c.a").alias("a"))
+
+
+def star_pairs(rows: DataFrame, centre: DataFrame) -> DataFrame:
+    """Distinct candidate pairs (a, b) of ids, a the centre of a key that both have."""
+    return rows.join(centre, "key").select("a", F.col("id").alias("b")).filter("a != b").distinct()
 
 
-def classes(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: Callable[[list, list], list]) -> DataFrame:
-    """(node, label) of the digests that are linked with others.
+def classes(keys: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: Callable[[list, list], list], shingles: Callable[[list], tuple], least: float) -> DataFrame:
+    """(node, label) of the digests that are linked with others; ``keys`` are blobs of :func:`pack_keys`.
 
     ``texts(ids)`` gives (id, digest, text) of the ids asked for, each text once;
-    ``similar`` judges two lists of texts pairwise.
+    ``similar`` judges two lists of texts pairwise; ``shingles`` gives the hashes of the shingles of
+    a list of texts and the first one of each.  Similar texts have a Jaccard similarity of the sets
+    of their shingles of ``least`` or more.
     """
-    pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    known = materialize(texts(ids), "pair-texts")
-    left = known.select(F.col("id").alias("a"), F.col("digest").alias("x"), F.col("text").alias("tx"))
-    right = known.select(F.col("id").alias("b"), F.col("digest").alias("y"), F.col("text").alias("ty"))
+    rows = materialize(shared_keys(keys), "shared-keys")
+    centre = materialize(centres(rows), "centres")
+    known = materialize(texts(rows.select("id").distinct()), "pair-texts")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, x, tx, b, y, ty = batch.columns
+            x, tx, y, ty = batch.columns
             ok = similar(tx.to_pylist(), ty.to_pylist())
-            yield pa.RecordBatch.from_arrays([a, b, x, y, pa.array(ok, pa.bool_())], names=["a", "b", "x", "y", "ok"])
-
-    labels = None
+            yield pa.RecordBatch.from_arrays([x, y, pa.array(ok, pa.bool_())], names=["x", "y", "ok"])
+
+    def check(met: DataFrame) -> DataFrame:
+        return materialize(met.select("x", "tx", "y", "ty").mapInArrow(judge, "x binary, y binary, ok boolean"), "checked")
+
+    def side(node: str, by: str) -> DataFrame:
+        return known.select(*([F.col("id").alias(by)] if by != node else []), F.col("digest").alias(node), F.col("text").alias(f"t{node}"))
+
+    pairs = materialize(star_pairs(rows, centre), "pairs")
+    checked = check(pairs.join(side("x", "a"), "a").join(side("y", "b"), "b").filter("x != y"))
+    labels = materialize(components(checked.filter("ok").select("x", "y")), "labels")
+    tried = _ordered(checked)
+
+    # texts of keys whose members, without the centre that all were compared with, are in several classes
+    place = _label(known.select("id", F.col("digest").alias("x")), labels)
+    members = rows.join(centre, "key").filter("id != a").join(place, "id")
+    several = members.groupBy("key").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo != hi")
+    apart = materialize(members.join(several, "key", "left_semi").select("x").distinct(), "apart")
+    if apart.isEmpty():
+        return labels
+    todo = rarest(known.join(apart.withColumnRenamed("x", "digest"), "digest", "left_semi"), shingles, least)
+    many = CENTRES
     while True:
-        met = pairs.join(left, "a").join(right, "b").filter(F.col("x") != F.col("y")).select("a", "x", "tx", "b", "y", "ty")
-        checked = materialize(met.mapInArrow(judge, "a bigint, b bigint, x binary, y binary, ok boolean"), "checked")
-        good = checked.filter("ok")
-        if labels is None:
-            labels = materialize(components(good.select("x", "y")), "labels")
-        elif good.isEmpty():
+        placed = _label(todo, labels)
+        top = placed.groupBy("key", "l").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "l")).alias("m"))
+        top = top.filter("m.c < n").select("key", F.col("m.l").alias("most"), (F.col("n") - F.col("m.c")).alias("rest"))
+        # centres are drawn from all classes but the largest; where none is left, the rest is one class
+        drawn = F.pmod(F.xxhash64("key", "x", F.lit(many)), F.lit(1 << 30)) * F.col("rest") < F.lit(many << 30)
+        stored = materialize(placed.join(top, "key").select("key", "x", "n", "l", ((F.col("l") != F.col("most")) & drawn).alias("centre")), "open-keys")
+        release(todo)
+        todo = stored
+        if todo.isEmpty():
             return labels
-        else:
+        left = todo.filter("centre").select("key", "x", F.col("l").alias("lx"), F.col("n").alias("nx"))
+        right = todo.select("key", F.col("x").alias("y"), F.col("l").alias("ly"), F.col("n").alias("ny"))
+        met = left.join(right, "key").filter((F.col("lx") != F.col("ly")) & (F.least("nx", "ny") >= F.lit(least - 1e-9) * F.greatest("nx", "ny")))
+        release(pairs)
+        pairs = materialize(_ordered(met).distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
+        checked = check(pairs.join(side("x", "x"), "x").join(side("y", "y"), "y"))
+        tried = tried.unionByName(_ordered(checked))
+        good = checked.filter("ok")
+        if not good.isEmpty():
             labels = _merged(labels, _with_labels(good, labels))
-        # texts of one star that failed and aren't in the centre's class: one of each class, matched with one of them
-        apart = _with_labels(checked.filter("not ok"), labels).filter("lx != ly").groupBy("a", "ly").agg(F.min(F.struct(F.xxhash64("b").alias("h"), "b")).alias("s"))
-        head = apart.groupBy("a").agg(F.min("s").alias("t"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        pairs = materialize(apart.join(head, "a").select(F.col("t.b").alias("a"), F.col("s.b").alias("b")).filter("a != b").distinct(), "pairs")
-        if pairs.isEmpty():
-            return labels
+        todo = materialize(stored.filter("not centre").select("key", "x", "n"), "rarest")
+        release(stored)
+        many *= 4
+
+
+def rarest(known: DataFrame, shingles: Callable[[list], tuple], least: float) -> DataFrame:
+    """(key, x, n): the rarest of the n different shingles of each text x, so many that texts of a Jaccard similarity of ``least`` or more share one.
+
+    Of n shingles a similar text has ``least * n`` or more, so not all of the first
+    n - ceil(least * n) + 1 can be missing; that holds for any order that is the same for all texts.
+    """
+
+    def hashes(texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for s in range(0, len(texts), 256):
+            h, off = shingles(texts[s : s + 256])
+            owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            order = np.lexsort((h, owner))
+            h, owner = h[order], owner[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+            yield s, h[new], owner[new]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, h, _ in hashes(batch.column(0).to_pylist()):
+                total += np.bincount((h % U64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        for s in range(0, len(at), 1 << 14):
+            part = at[s : s + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["at", "c"])
+
+    counts = known.select("text").mapInArrow(count, "at bigint, c bigint").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
+    common = np.zeros(COUNTERS, np.int64)
+    common[counts.column("at").to_numpy()] = counts.column("c").to_numpy()
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = batch.column(0)
+            for s, h, owner in hashes(batch.column(1).to_pylist()):
+                order = np.lexsort((h, common[(h % U64(COUNTERS)).astype(np.int64)], owner))
+                h, owner = h[order], owner[order]
+                n = np.bincount(owner)
+                rank = np.arange(len(h)) - (np.cumsum(n) - n)[owner]
+                taken = rank <= n[owner] - np.ceil(least * n[owner] - 1e-9)
+                h, owner = h[taken], owner[taken]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), digests.take(pa.array(owner + s)), pa.array(n[owner].astype(np.int32))], names=["key", "x", "n"])
+
+    return materialize(known.select("digest", "text").mapInArrow(pick, "key bigint, x binary, n int"), "rarest")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (x, y) with the lesser digest first."""
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def _label(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds the label l of x; a digest without one is its own."""
+    return nodes.join(labels.select(F.col("node").alias("x"), F.col("label").alias("l")), "x", "left").withColumn("l", F.coalesce("l", "x"))
 
 
 def _with_labels(links: DataFrame, labels: DataFrame) -> DataFrame:

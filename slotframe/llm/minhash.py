@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, WORD_POWERS, Texts, Words, materialize, mix64, prefix_hash, seq_hash
-from .links import KEYS, classes, digest_columns, pack_keys, star_pairs
+from .links import KEYS, classes, digest_columns, pack_keys
 from .windows import bucket_count
 
 #: Bits of a sort key that hold a shingle's place; texts with more shingles are sketched by exact hashes.
@@ -125,13 +125,18 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return common / (n + m - common)
 
 
+def text_shingles(texts: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled shingles of a list of texts, and the first one of each."""
+    h, off = shingles(Texts.of(pa.array([x or "" for x in texts], pa.large_string())), width)
+    return labelled(h, off), off
+
+
 def similar_texts(left: list, right: list, width: int, least: float) -> list[bool]:
     out = []
     for s in range(0, len(left), 64):
         sequences = []
         for part in (left[s : s + 64], right[s : s + 64]):
-            h, off = shingles(Texts.of(pa.array([x or "" for x in part], pa.large_string())), width)
-            h = labelled(h, off)
+            h, off = text_shingles(part, width)
             sequences.append([h[i:j] for i, j in zip(off[:-1], off[1:], strict=True)])
         out += [aligned_similarity(a, b, least) >= least for a, b in zip(*sequences, strict=True)]
     return out
@@ -156,10 +161,10 @@ def near_classes(docs: DataFrame, width: int = 5, least: float = 0.8, count: int
             if keys:
                 yield pack_keys(np.concatenate(keys), np.concatenate(owners), buckets)
 
-    pairs = star_pairs(own.select("id", "text").mapInArrow(sketch, KEYS))
+    keys = own.select("id", "text").mapInArrow(sketch, KEYS)
     # a merge join at every size: disk use then grows with the input, not with a change of plan
     texts = lambda ids: own.join(ids.hint("merge"), "id", "left_semi").groupBy("digest").agg(F.first("id").alias("id"), F.first("text").alias("text"))
-    return classes(pairs, texts, lambda a, b: similar_texts(a, b, width, least))
+    return classes(keys, texts, lambda a, b: similar_texts(a, b, width, least), lambda t: text_shingles(t, width), least)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:

@@ -190,3 +190,53 @@ def test_line_recall_at_the_threshold(length):
             total += 1
             found += bool((k[0] == k[1]).any())
     assert found >= 0.97 * total
+
+
+def mutation_tree(rng, n, edit, first):
+    out = [first]
+    while len(out) < n:
+        out.append(edit(rng.choice(out)))
+    return out
+
+
+def change_words(rng, text, most):
+    w = text.split()
+    for p in rng.sample(range(len(w)), most):
+        w[p] = f"x{rng.random()}"
+    return " ".join(w)
+
+
+def change_character(rng, line):
+    p = rng.randrange(len(line))
+    return line[:p] + rng.choice("0123456789") + line[p + 1 :]
+
+
+def meeting_classes(items, keys, similar):
+    """Classes by brute force over all pairs that share a key."""
+    pairs = [(i, j) for i in range(len(items)) for j in range(i) if (keys[i] == keys[j]).any() and similar(items[i], items[j])]
+    return {frozenset(c) for c in classes(range(len(items)), pairs)}
+
+
+def document_classes(spark, texts):
+    t = Texts.of(pa.array(texts))
+    h, off = minhash.shingles(t, 5)
+    keys = minhash.order_sketches(minhash.labelled(h, off), off, 12, 3)
+    want = meeting_classes(texts, keys, lambda a, b: minhash.similar_texts([a], [b], 5, 0.8)[0])
+    found = defaultdict(set)
+    for r in minhash.near_duplicates(table(spark, [(i, x, "xx", "a") for i, x in enumerate(texts)])).collect():
+        found[r.class_id].add(r.doc_id)
+    return {frozenset(c) for c in found.values()}, want
+
+
+def coarser(found, want):
+    """Each class by brute force lies in one found class."""
+    return all(any(w <= f for f in found) for w in want)
+
+
+def test_documents_of_a_mutation_tree(spark):
+    """Copies of copies are one class although most are far from any one centre."""
+    rng = random.Random(21)
+    texts = mutation_tree(rng, 300, lambda x: change_words(rng, x, 2), prose(rng, 150))
+    found, want = document_classes(spark, texts)
+    assert len(want) < 4
+    assert coarser(found, want)

@@ -240,3 +240,24 @@ def test_documents_of_a_mutation_tree(spark):
     found, want = document_classes(spark, texts)
     assert len(want) < 4
     assert coarser(found, want)
+
+
+def line_classes(spark, found_lines):
+    keys = lines.band_keys(lines.signatures(found_lines, 8, 70), 5)
+    want = meeting_classes(found_lines, keys, lambda a, b: lines.similar_lines([a], [b], 8, 0.8)[0])
+    number = {x: i for i, x in enumerate(found_lines)}
+    found = defaultdict(set)
+    for r in lines.fuzzy_line_classes(table(spark, [(i, x, "xx", "a") for i, x in enumerate(found_lines)])).collect():
+        found[r.class_doc].add(number[found_lines[r.doc_id]])
+    return {frozenset(c) for c in found.values()}, want
+
+
+def test_lines_of_a_tree_and_a_chain(spark):
+    """Lines a character off a random earlier one, and a running chain of such lines."""
+    rng = random.Random(5)
+    tree = mutation_tree(rng, 250, lambda x: change_character(rng, x), prose(rng, 60)[:120])
+    chain = [prose(rng, 60)[:120]]
+    for _ in range(150):
+        chain.append(change_character(rng, chain[-1]))
+    found, want = line_classes(spark, list(dict.fromkeys(x.strip() for x in tree + chain)))
+    assert coarser(found, want)

@@ -57,17 +57,24 @@ def order_sketches(h: np.ndarray, off: np.ndarray, count: int, size: int) -> np.
     full = np.flatnonzero(np.diff(off))
     begin, lengths = off[full], np.diff(off)[full]
     low = U64((1 << PLACE_BITS) - 1)
+    exact = len(full) > 0 and int(lengths.max()) > 1 << PLACE_BITS  # places don't fit beside the hash
     place = (np.arange(len(h)) - np.repeat(begin, lengths)).astype(U64)
     out = np.empty((len(full), count), U64)
     with np.errstate(over="ignore"):
         for s in range(count):
             x = (h ^ U64(0xA24BAED4963EE407 * (2 * s + 1) & (1 << 64) - 1)) * U64(0xD6E8FEB86659FD93)
             x ^= x >> U64(32)
-            x = (x * U64(0x9E3779B97F4A7C15) & ~low) | place
+            x *= U64(0x9E3779B97F4A7C15)
+            if not exact:
+                x = x & ~low | place
             taken = np.full((len(full), size), -1, np.int64)
             for k in range(size):
                 least = np.minimum.reduceat(x, begin)
-                at = (least & low).astype(np.int64)
+                if exact:
+                    hit = np.flatnonzero(x == np.repeat(least, lengths))
+                    at = hit[np.searchsorted(hit, begin)] - begin
+                else:
+                    at = (least & low).astype(np.int64)
                 there = lengths > k
                 taken[there, k] = at[there]
                 x[(begin + at)[there]] = U64((1 << 64) - 1)

@@ -261,3 +261,13 @@ def test_lines_of_a_tree_and_a_chain(spark):
         chain.append(change_character(rng, chain[-1]))
     found, want = line_classes(spark, list(dict.fromkeys(x.strip() for x in tree + chain)))
     assert coarser(found, want)
+
+
+def test_sketches_of_texts_with_more_shingles_than_places(monkeypatch):
+    """Texts whose places don't fit beside the hash have the same sketches."""
+    rng = random.Random(2)
+    t = Texts.of(pa.array([prose(rng, 100), "a b c d e f", prose(rng, 40)]))
+    h, off = minhash.shingles(t, 5)
+    want = minhash.order_sketches(minhash.labelled(h, off), off, 12, 3)
+    monkeypatch.setattr(minhash, "PLACE_BITS", 4)
+    assert (minhash.order_sketches(minhash.labelled(h, off), off, 12, 3) == want).all()

@@ -12,7 +12,7 @@ import pytest
 from fixtures import prose, table, words
 from pyspark.sql import functions as F
 from slotframe.llm import chat, decontaminate, langid, mixing, quality, tokens
-from slotframe.llm.common import new_dir
+from slotframe.llm.common import Texts, new_dir
 from slotframe.llm.registry import tokenizer_path
 
 # ---------------------------------------------------------------- quality
@@ -134,17 +134,35 @@ def whole_ids(texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     return [e.ids for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 def test_chunks_encode_like_whole_texts():
     rng = random.Random(1)
     texts = [None, "", " ", "  ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "a\n \nb", "it's  we'll 12 34", "x\u00a0 y", "<|endoftext|> a", "tab\t x", "é ü ñ", "\u3000 字 \u2003z", "a \u00a0b", "a \x1cb"]
+    end = "<|endoftext|>"
+    texts += [end, f"a{end}b", f"{end}a", f"a{end}", f"a  {end}  b", f"a {end} b c", f" {end} ", f"{end}{end} x", f"a <|endof {end[:-1]} b"]
     texts += ["".join(rng.choice("ab 1é\n\t'!<\u00a0") for _ in range(40)) for _ in range(500)]
+    texts += [f" {end}".join("".join(rng.choice("ab  \n") for _ in range(rng.randint(0, 9))) for _ in range(3)) for _ in range(200)]
+    texts += ["x" * 5000, "\U0001f600\ud7ff " * 30]
     e = tokens.Encoder(tokenizer_path())
-    for _ in range(2):
-        assert [np.frombuffer(x, e.width).tolist() for x in e(texts)] == whole_ids(texts)
+    for size in (None, 7, 1):  # known chunks of the first call serve the others
+        for a in range(0, len(texts), size or len(texts)):
+            part = texts[a : a + (size or len(texts))]
+            flat, counts = e(Texts.of(pa.array(part, pa.string())), 0)
+            want = [[*x, 0] for x in whole_ids(part)]
+            assert counts.tolist() == [len(x) for x in want]
+            assert flat.tolist() == [i for x in want for i in x]
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tok = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    tok.save(str(tmp_path / "t.json"))
+    flat, counts = tokens.Encoder(str(tmp_path / "t.json"))(Texts.of(pa.array(["a b", None, "b c a"], pa.string())), 9)
+    assert (flat.tolist(), counts.tolist()) == ([0, 1, 9, 9, 1, 2, 0, 9], [3, 1, 4])
 
 
 @pytest.mark.parametrize("length", (16, 512))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import WORD_POWERS, Texts, Words, covered, prefix_hash, seq_hash
-from .windows import EarlierWindows, SLICE_UNITS
+from .windows import EarlierWindows, SLICE_UNITS, ranges
 
 
 class WordWindows(EarlierWindows):
@@ -30,7 +30,7 @@ class WordWindows(EarlierWindows):
     result = "_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, n_spans bigint"
 
     def __init__(self, k: int = 50, m: int = 8):
-        self.k, self.m = k, m
+        self.k, self.m = k, min(m, k)
 
     def pieces(self, t: Texts) -> Iterator[tuple[int, int, Texts]]:
         for a, _, s in t.slices():
@@ -71,6 +71,19 @@ class WordWindows(EarlierWindows):
         owner = np.repeat(doc, n)
         return owner[first[inverse]] != owner
 
+    def window_hashes(self, strings, n):
+        w = Words(Texts.of(pa.array(strings, pa.large_binary())))
+        p, down = prefix_hash(w.hash, WORD_POWERS)
+        return seq_hash(p, down, self.k)[ranges(w.off[:-1], n)]
+
+    def window_strings(self, strings, owner, at):
+        out, last, words = [], -1, []
+        for i, j in zip(owner.tolist(), at.tolist(), strict=True):
+            if i != last:
+                last, words = i, strings[i].split(b" ")
+            out.append(b" ".join(words[j : j + self.k]))
+        return out
+
     def rows(self, ids, t, marks):
         w = Words(t, hashes=False)
         gone = np.zeros(len(w), bool)

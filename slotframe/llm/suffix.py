@@ -23,17 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import BYTE_POWERS, Texts, covered, prefix_hash, seq_hash
-from .windows import EarlierWindows, SLICE_UNITS
+from .windows import EarlierWindows, SLICE_UNITS, ranges
 
 
 def suffix_ranks(s: np.ndarray, depth: int) -> list[np.ndarray]:
     """ranks[j][i]: the rank of the 2**j symbols from i on, up to ``depth`` symbols or more (prefix doubling)."""
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64) + 1
+    rank = np.unique(s, return_inverse=True)[1].astype(np.int32) + np.int32(1)
     out, step = [rank], 1
     while step < depth:
-        key = rank * (int(rank.max(initial=0)) + 1)
+        key = rank.astype(np.int64) * (int(rank.max(initial=0)) + 1)
         key[:-step] += rank[step:]
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int32) + np.int32(1)
         out.append(rank)
         step *= 2
     return out
@@ -89,7 +89,7 @@ class ByteWindows(EarlierWindows):
     result = "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
     def __init__(self, k: int = 100, m: int = 32):
-        self.k, self.m = k, m
+        self.k, self.m = k, min(m, k)
 
     def pieces(self, t: Texts) -> Iterator[tuple[int, int, Texts]]:
         for a, _, s in t.slices():
@@ -114,9 +114,9 @@ class ByteWindows(EarlierWindows):
 
     def earlier(self, strings, n, doc):
         size = np.array([len(x) for x in strings])
-        flat = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64)
+        flat = np.frombuffer(b"".join(strings), np.uint8)
         begin = np.cumsum(size + 1) - size - 1
-        s = np.full(int((size + 1).sum()), -1, np.int64)
+        s = np.empty(int((size + 1).sum()), np.int32)
         inside = np.ones(len(s), bool)
         inside[begin + size] = False
         s[inside] = flat
@@ -125,6 +125,14 @@ class ByteWindows(EarlierWindows):
         at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         return lpf[at] >= self.k
 
+    def window_hashes(self, strings, n):
+        p, down = prefix_hash(np.frombuffer(b"".join(strings), np.uint8), BYTE_POWERS)
+        size = np.array([len(x) for x in strings])
+        return seq_hash(p, down, self.k)[ranges(np.cumsum(size) - size, n)]
+
+    def window_strings(self, strings, owner, at):
+        return [strings[i][j : j + self.k] for i, j in zip(owner.tolist(), at.tolist(), strict=True)]
+
     def rows(self, ids, t, marks):
         gone = np.zeros(len(t.data), bool)
         spans = np.zeros(len(t), np.int64)

@@ -15,9 +15,11 @@ the same minimiser (the smallest hash among their ``m``-grams, leftmost first),
    start that has an equal, earlier one.
 5. ``finish``: marks meet their texts, which yield the result rows (subclass).
 
-Texts are shuffled once; steps 3 and 5 read the same exchange.  Documents are ordered by
-id, null first, then by a hash of their text; rows equal in both are one document, whose
-result each of them gets.  Texts longer than a slice are cut into overlapping slices.
+Texts are shuffled once, by a hash of id and text; steps 3 and 5 read the same exchange.
+Documents are ordered by id, null first, then by a hash of their text; rows equal in both are one
+document, whose result each of them gets.  Texts longer than a slice are cut into overlapping
+slices.  Strings are compared in pieces of ``PIECE_BYTES``, whole anchors at a time, for equal
+windows have equal anchors; the windows of a larger anchor are dealt out by their hashes.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Texts
+from .common import U64, Texts, repeated
 
 NULL_ID = -(1 << 63)
 #: Units per slice at most: positions within one fit into the low bits of a sort key.
@@ -37,10 +39,12 @@ PLACE_BITS = 20
 SLICE_UNITS = 1 << 18
 #: Bytes of text, by the planner's estimate, that a bucket is made for.
 BUCKET_BYTES = 8 << 20
+#: Bytes of strings that are compared exactly at a time.
+PIECE_BYTES = 1 << 19
 
 ANCHORS = "bucket bigint, h binary, doc binary, lo binary, ext binary, many binary"
-PACKED = "bucket bigint, h binary, doc binary, th binary, lo binary, n binary, size binary, text binary"
-_PACKED_TYPES = {"h": np.uint64, "doc": np.int64, "th": np.int64, "lo": np.uint32, "n": np.uint32, "size": np.uint32}
+PACKED = "bucket bigint, h binary, doc binary, th binary, grp binary, lo binary, n binary, size binary, text binary"
+_PACKED_TYPES = {"h": np.uint64, "doc": np.int64, "th": np.int64, "grp": np.uint32, "lo": np.uint32, "n": np.uint32, "size": np.uint32}
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -133,18 +137,46 @@ class EarlierWindows:
         """Flags for all windows of strings, string by string in document order: is there an equal earlier one?"""
         raise NotImplementedError
 
+    def window_hashes(self, strings: list[bytes], n: np.ndarray) -> np.ndarray:
+        """A hash of every window of strings, string by string."""
+        raise NotImplementedError
+
+    def window_strings(self, strings: list[bytes], owner: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """Window at[i] of string owner[i], as a string of its own."""
+        raise NotImplementedError
+
     def rows(self, ids: pa.Array, t: Texts, marks: list[np.ndarray | None]) -> pa.RecordBatch:
         """Result rows; marks[i]: the (start, count) runs of marked windows of text i, or None."""
         raise NotImplementedError
 
     # -- the steps
 
+    def earlier_bounded(self, strings: list[bytes], n: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """As ``earlier``, ``PIECE_BYTES`` at a time: of many strings only windows whose hash occurs twice, dealt out by that hash."""
+        if sum(map(len, strings)) <= 2 * PIECE_BYTES:
+            return self.earlier(strings, n, doc)
+        owner = np.repeat(np.arange(len(n)), n)
+        at = ranges(np.zeros(len(n), np.int64), n)
+        h = self.window_hashes(strings, n)
+        flag = np.zeros(len(h), bool)
+        again = np.flatnonzero(repeated(h)[0])
+        again = again[np.argsort(h[again], kind="stable")]
+        window_bytes = len(strings[0]) // (int(n[0]) + self.k - 1) * self.k + 1
+        step = max(2, 2 * PIECE_BYTES // window_bytes)
+        for a, z in _pieces(h[again], np.full(len(again), window_bytes)):
+            held = np.empty(0, np.int64)  # of an equal-hash group over several pieces, what isn't a copy goes before the next one
+            for b in range(a, z, step):
+                some = np.sort(np.append(held, again[b : min(z, b + step)]))
+                flag[some] = self.earlier(self.window_strings(strings, owner[some], at[some]), np.ones(len(some), np.int64), doc[owner[some]])
+                held = some[~flag[some]]
+        return flag
+
     def anchors(self, docs: DataFrame, buckets: int) -> DataFrame:
         k, width, me = self.k, self.k - self.m + 1, self
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+                ids = batch.column(0).to_numpy()
                 found: list[tuple] = []
                 for first, unit0, t in me.pieces(Texts.of(batch.column(1))):
                     grams, ok, owner, begin = me.grams(t)
@@ -169,7 +201,7 @@ class EarlierWindows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["bucket", "h", "doc", "lo", "ext", "many"])
 
         assert k - self.m < 255
-        return docs.select("_id", "_text").mapInArrow(step, ANCHORS)
+        return docs.select("_key", "_text").mapInArrow(step, ANCHORS)
 
     def survivors(self, anchors: DataFrame, groups: int) -> DataFrame:
         def step(table: pa.Table) -> pa.Table:
@@ -204,9 +236,10 @@ class EarlierWindows:
                 h, doc, lo, n = h[order], doc[order], lo[order].astype(np.int64), n[order].astype(np.int64)
                 left = left.combine_chunks()
                 ids = left.column("_id").fill_null(NULL_ID).to_numpy()
-                th = left.column("_th").to_numpy()
+                th, key = left.column("_th").to_numpy(), left.column("_key").to_numpy()
+                group = left.column("_grp")[0].as_py()
                 texts = Texts.of(left.column("_text"))
-                a, z = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
+                a, z = np.searchsorted(doc, key, "left"), np.searchsorted(doc, key, "right")
                 packed: list[tuple] = []
                 for first, last, t in texts.slices():
                     size = z[first:last] - a[first:last]
@@ -221,8 +254,9 @@ class EarlierWindows:
                     strings = [x for p in packed for x in p[5]]
                     h, doc, th, lo, n = (np.concatenate([p[i] for p in packed]) for i in range(5))
                     send, marked = _settle_equal(strings, h, doc, th, lo, me.within)
-                    out = _pack((h % U64(buckets)).astype(np.int64), send, h, doc, th, lo, n, strings)
-                    out += _pack(-1 - (doc % buckets), marked, h, doc, th, lo, n, None)
+                    grp = np.full(len(h), group, np.uint32)
+                    out = _pack((h % U64(buckets)).astype(np.int64), send, h, doc, th, grp, lo, n, strings)
+                    out += _pack(np.full(len(h), -1 - group % buckets), marked, h, doc, th, grp, lo, n, None)
             return _table(out)
 
         return docs.groupBy("_grp").cogroup(survivors.groupBy("grp")).applyInArrow(step, PACKED)
@@ -234,12 +268,12 @@ class EarlierWindows:
             bucket = table.column("bucket")[0].as_py()
             c = {name: _join(table.column(name), kind) for name, kind in _PACKED_TYPES.items()}
             if bucket < 0:
-                doc, th, lo, n = c["doc"], c["th"], c["lo"], c["n"].astype(np.int64)
+                doc, th, grp, lo, n = c["doc"], c["th"], c["grp"], c["lo"], c["n"].astype(np.int64)
             else:
                 blob = b"".join(table.column("text").to_pylist())
                 ends = np.cumsum(c["size"].astype(np.int64))
                 strings = [blob[e - s : e] for e, s in zip(ends, c["size"].tolist(), strict=True)]
-                h, doc, th, lo, n = c["h"], c["doc"], c["th"], c["lo"], c["n"].astype(np.int64)
+                h, doc, th, grp, lo, n = c["h"], c["doc"], c["th"], c["grp"], c["lo"], c["n"].astype(np.int64)
                 keep, marked = _settle_equal(strings, h, doc, th, lo, me.within)
                 # distinct strings of an anchor that has several
                 k = h[keep]
@@ -248,20 +282,22 @@ class EarlierWindows:
                 several = np.zeros(len(k), bool)
                 several[order[1:][same]] = several[order[:-1][same]] = True
                 left = keep[several]
-                left = left[np.lexsort((lo[left], th[left], doc[left]))]
-                parts = [(doc[marked], th[marked], lo[marked].astype(np.int64), n[marked])]
-                if len(left):
-                    flag = me.earlier([strings[i] for i in left], n[left], doc[left])
-                    owner = np.repeat(left, n[left])
-                    start = ranges(lo[left].astype(np.int64), n[left])
+                left = left[np.lexsort((lo[left], th[left], doc[left], h[left]))]
+                parts = [(doc[marked], th[marked], grp[marked], lo[marked].astype(np.int64), n[marked])]
+                for a, z in _pieces(h[left], c["size"][left]):
+                    some = left[a:z]
+                    some = some[np.lexsort((lo[some], th[some], doc[some]))]
+                    flag = me.earlier_bounded([strings[i] for i in some], n[some], doc[some])
+                    owner = np.repeat(some, n[some])
+                    start = ranges(lo[some].astype(np.int64), n[some])
                     begin = flag.copy()
                     begin[1:] &= ~(flag[:-1] & (owner[1:] == owner[:-1]))
                     end = flag.copy()
                     end[:-1] &= ~(flag[1:] & (owner[1:] == owner[:-1]))
                     b, e = np.flatnonzero(begin), np.flatnonzero(end)
-                    parts.append((doc[owner[b]], th[owner[b]], start[b], e - b + 1))
-                doc, th, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            group = _group(doc, groups)
+                    parts.append((doc[owner[b]], th[owner[b]], grp[owner[b]], start[b], e - b + 1))
+                doc, th, grp, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            group = grp.astype(np.int64)
             out = [(g, doc[r].tobytes(), th[r].tobytes(), lo[r].astype(np.int64).tobytes(), n[r].tobytes()) for g, r in _split(group)]
             return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=names)
 
@@ -298,8 +334,8 @@ class EarlierWindows:
         buckets = groups = 2 * parts  # more groups than partitions, so that partitions come out even
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         own = docs.select(F.col(id_col).cast("bigint").alias("_id"), text.alias("_text"))
-        keyed = own.withColumns({"_th": F.xxhash64("_text"), "_grp": F.pmod(F.coalesce("_id", F.lit(NULL_ID)), F.lit(groups))})
-        keyed = keyed.repartition(parts, "_grp")
+        own = own.withColumn("_key", F.xxhash64("_id", "_text"))  # rows that share it share their runs, which are compared exactly
+        keyed = own.withColumns({"_th": F.xxhash64("_text"), "_grp": F.pmod("_key", F.lit(groups))}).repartition(parts, "_grp")
         survivors = self.survivors(self.anchors(own, buckets), groups)
         marks = self.settle(self.runs(keyed, survivors, buckets), groups)
         return self.finish(keyed, marks).withColumnRenamed("_id", id_col)
@@ -329,17 +365,30 @@ def _settle_equal(strings: list[bytes], h, doc, th, lo, within: bool) -> tuple[n
     return np.array(keep, np.int64), np.array(marked, np.int64)
 
 
-def _pack(bucket, rows, h, doc, th, lo, n, strings) -> list[tuple]:
+def _pieces(h: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of whole anchors, sorted by h, of about PIECE_BYTES; a larger anchor comes alone."""
+    first, total = 0, 0
+    for a, z in _cuts(h[1:] != h[:-1], len(h)):
+        more = int(size[a:z].sum())
+        if total and total + more > PIECE_BYTES:
+            yield first, a
+            first, total = a, 0
+        total += more
+    if total:
+        yield first, len(h)
+
+
+def _pack(bucket, rows, h, doc, th, grp, lo, n, strings) -> list[tuple]:
     out = []
     for b, r in _split(bucket[rows]):
         r = rows[r]
         text = [strings[i] for i in r.tolist()] if strings else []
         size = np.array([len(x) for x in text] if strings else np.zeros(len(r)), np.uint32)
-        out.append((b, h[r].tobytes(), doc[r].tobytes(), th[r].tobytes(), lo[r].astype(np.uint32).tobytes(), n[r].astype(np.uint32).tobytes(), size.tobytes(), b"".join(text)))
+        out.append((b, h[r].tobytes(), doc[r].tobytes(), th[r].tobytes(), grp[r].tobytes(), lo[r].astype(np.uint32).tobytes(), n[r].astype(np.uint32).tobytes(), size.tobytes(), b"".join(text)))
     return out
 
 
 def _table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int64(), *[pa.binary()] * 7]
+    kinds = [pa.int64(), *[pa.binary()] * 8]
     names = ["bucket", *_PACKED_TYPES, "text"]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=names)
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)], names=names)

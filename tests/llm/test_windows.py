@@ -2,8 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from fixtures import prose, table, words
-from slotframe.llm import substring, suffix
+from slotframe.llm import substring, suffix, windows
 
 
 def brute_words(rows, k):
@@ -70,8 +71,6 @@ def test_hot_passage(spark):
 
 def test_slices_cut_long_texts(spark, monkeypatch):
     """A text of more than a slice is cut into overlapping ones."""
-    from slotframe.llm import windows
-
     monkeypatch.setattr(substring, "SLICE_UNITS", 100)
     monkeypatch.setattr(suffix, "SLICE_UNITS", 300)
     from slotframe.llm.common import Texts
@@ -91,6 +90,39 @@ def test_slices_cut_long_texts(spark, monkeypatch):
         assert sorted(starts) == list(range(units - op.k + 1))
 
 
+@pytest.mark.parametrize("piece", (200, 2000, 1 << 19))
+def test_pieces_find_the_same(piece, monkeypatch):
+    """Windows of many strings dealt out by their hash are compared like all at once."""
+    rng = random.Random(4)
+    monkeypatch.setattr(windows, "PIECE_BYTES", piece)
+    text = prose(rng, 80).split()
+    for op in (substring.WordWindows(5), suffix.ByteWindows(20)):
+        strings, n, doc = [], [], []
+        for i in range(60):
+            size = rng.randint(op.k, op.k + 9)
+            if isinstance(op, suffix.ByteWindows):
+                a = rng.randint(0, 40)
+                strings.append(" ".join(text).encode()[a : a + size])
+            else:
+                a = rng.randint(0, 25)
+                strings.append(" ".join(text[a : a + size]).encode())
+            n.append(size - op.k + 1)
+            doc.append(i // 2)
+        n, doc = np.array(n), np.array(doc)
+        assert op.earlier_bounded(strings, n, doc).tolist() == op.earlier(strings, n, doc).tolist()
+        assert op.earlier(strings, n, doc).any()
+
+
+def test_ids_that_share_a_factor_spread(spark):
+    """Groups follow a hash of id and text, null ids and repeated ids included."""
+    rng = random.Random(6)
+    rows = [(None if i % 3 == 0 else 64 * (i % 5), prose(rng, 40) if i % 4 else "one two three " * 9, "xx", "a") for i in range(60)]
+    got = sorted((tuple(r) for r in suffix.dedup_suffixes(table(spark, rows), 30).collect()), key=repr)
+    assert got == brute_bytes(rows, 30)
+    got = sorted((tuple(r) for r in substring.dedup_substrings(table(spark, rows), 10).drop("n_spans").collect()), key=repr)
+    assert got == brute_words(rows, 10)
+
+
 def test_empty(empty):
     assert substring.dedup_substrings(empty).collect() == []
     assert suffix.dedup_suffixes(empty).collect() == []

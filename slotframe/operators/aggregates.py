@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans import fixtures as fx
 from ..plans.register import query
+from .joins import calendar, calendar_sql
 from .state import merge_latest
 from .ordered import with_previous, with_running
 
@@ -23,8 +24,9 @@ def references(spark, d) -> DataFrame:
 
 def key_windows(refs: DataFrame, width: int = 1000) -> DataFrame:
     """For each window of slots: distinct keys, keys with more than one reference, references."""
-    first = refs.agg(F.min("slot")).first()[0] or 0
-    per = refs.groupBy(F.expr(f"(slot - {first}) div {width}").alias("slot_window"), "pubkey").agg(F.count(F.lit(1)).alias("n"))
+    first = refs.agg(F.min("slot").alias("first"))
+    per = beside(refs.groupBy("slot", "pubkey").agg(F.count(F.lit(1)).alias("n")), first)
+    per = per.groupBy(F.expr(f"(slot - first) div {width}").alias("slot_window"), "pubkey").agg(F.sum("n").alias("n"))
     return per.groupBy("slot_window").agg(F.count(F.lit(1)).alias("distinct_keys"), F.count_if(F.col("n") > 1).alias("multi_keys"), F.sum("n").alias("refs"))
 
 
@@ -49,12 +51,38 @@ CLASSES = ((127, 1), (255, 2), (65535, 2), (16777215, 3), (4294967295, 4))
 POP_SQL = f"{REFS_SQL}, pop AS (SELECT pubkey, count(*) AS n FROM refs GROUP BY pubkey), ranked AS (SELECT pubkey, n, row_number() OVER (ORDER BY n DESC, pubkey) AS rank FROM pop)"
 
 
-def ranked_keys(refs: DataFrame) -> DataFrame:
-    """Keys by popularity. Ranks come from counts per frequency, so no window holds all keys: ties rank by key inside one frequency."""
+def beside(df: DataFrame, row: DataFrame) -> DataFrame:
+    """The columns of a one-row table on every row."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
+def popularity(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pubkey, n) and, for each count n, how many keys have it (k), how many have more (above), and the references of those (over)."""
     pop = refs.groupBy("pubkey").agg(F.count(F.lit(1)).alias("n"))
     per = pop.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
-    above = per.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("n", "before")
-    return pop.join(above, "n").withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy("pubkey")) + F.col("before")).select("pubkey", "n", "rank")
+    more = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)  # a row a distinct count: about the root of all references at most
+    sums = {"above": F.coalesce(F.sum("k").over(more), F.lit(0)), "over": F.coalesce(F.sum(F.col("n") * F.col("k")).over(more), F.lit(0))}
+    return pop, per.withColumns(sums)
+
+
+#: Keys are windowed in runs of this many numbers inside one count.
+KEY_RUN = 4096
+
+
+def ranked_keys(refs: DataFrame) -> DataFrame:
+    """Keys by popularity, ties by key: rank and the references of all keys up to it.
+
+    Most keys have the same few counts, so keys of one count are ranked in runs of key numbers, and one row a run is summed up before them.
+    """
+    pop, per = popularity(refs)
+    pop = pop.withColumn("_run", F.expr(f"pubkey div {KEY_RUN}"))
+    runs = pop.groupBy("n", "_run").agg(F.count(F.lit(1)).alias("_k"))
+    earlier = Window.partitionBy("n").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_past", F.coalesce(F.sum("_k").over(earlier), F.lit(0))).drop("_k")
+    inner = F.row_number().over(Window.partitionBy("n", "_run").orderBy("pubkey"))
+    placed = pop.withColumn("_inner", inner).join(runs, ["n", "_run"]).join(per, "n")
+    place = F.col("_past") + F.col("_inner")
+    return placed.select("pubkey", "n", (F.col("above") + place).alias("rank"), (F.col("over") + F.col("n") * place).alias("running"))
 
 
 @query(
@@ -65,22 +93,23 @@ SELECT top, round(coalesce(sum(n) FILTER (rank <= top), 0) / any_value(total), 6
 FROM ranked, c, t GROUP BY top""",
 )
 def a11(spark, d):
-    """Share of references that the N most popular keys cover, and mean id bytes with such a dictionary."""
-    r = ranked_keys(references(spark, d))
-    width = F.lit(4)
-    for top, size in reversed(CLASSES):
-        width = F.when(F.col("rank") <= top, size).otherwise(width)
-    sums = r.agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("rank") <= top, F.col("n")).otherwise(0)).alias(f"c{i}") for i, (top, _) in enumerate(CLASSES)], *[F.sum(F.col("n") * F.when(F.col("rank") <= top, width).otherwise(4)).alias(f"b{i}") for i, (top, _) in enumerate(CLASSES)])
+    """Share of references that the N most popular keys cover, and mean id bytes with such a dictionary; from counts alone."""
+    _, per = popularity(references(spark, d))
+    covered = [F.sum(F.col("n") * F.greatest(F.least(F.lit(top).cast("bigint") - F.col("above"), F.col("k")), F.lit(0))).alias(f"c{i}") for i, (top, _) in enumerate(CLASSES)]
+    sums = per.agg(F.sum(F.col("n") * F.col("k")).alias("total"), *covered)
+    c = [F.lit(0), *[F.col(f"c{i}") for i in range(len(CLASSES))]]
+    size = [sum(((c[j + 1] - c[j]) * w for j, (_, w) in enumerate(CLASSES[: i + 1])), F.lit(0)) + (F.col("total") - c[i + 1]) * 4 for i in range(len(CLASSES))]
+    sums = sums.withColumns({f"b{i}": b for i, b in enumerate(size)})
     rows = F.array(*[F.struct(F.lit(top).cast("bigint").alias("top"), F.round(F.col(f"c{i}") / F.col("total"), 6).alias("share"), F.round(F.col(f"b{i}") / F.col("total"), 6).alias("mean_id_bytes")) for i, (top, _) in enumerate(CLASSES)])
     return sums.select(F.inline(rows))
 
 
 @query("W5_rank_share", f"WITH {POP_SQL} SELECT pubkey, n, rank, round(sum(n) OVER (ORDER BY rank) / sum(n) OVER (), 6) AS share FROM ranked")
 def w5(spark, d):
-    """Rank and cumulative share; the total is one row, joined by a literal."""
-    r = with_running(ranked_keys(references(spark, d)), "rank", "n", "running")
-    total = r.agg(F.sum("n")).first()[0] or 1
-    return r.select("pubkey", "n", "rank", F.round(F.col("running") / F.lit(total), 6).alias("share"))
+    """Rank and cumulative share."""
+    refs = references(spark, d)
+    r = beside(ranked_keys(refs), refs.agg(F.count(F.lit(1)).alias("total")))
+    return r.select("pubkey", "n", "rank", F.round(F.col("running") / F.col("total"), 6).alias("share"))
 
 
 #: List limits of the record model that the shape report compares with.
@@ -200,16 +229,25 @@ def u1(spark, d):
     return lists.select(F.col("user_id").cast("string").alias("account")).distinct().orderBy("account")
 
 
-@query("U2_coverage_holes", f"WITH {fx.BLOCKS_SQL} SELECT slot // 100 * 100 AS start, slot // 100 * 100 + 100 AS stop, count(*) AS blocks FROM blocks WHERE (slot // 100) % 7 = 3 GROUP BY 1, 2")
+@query(
+    "U2_coverage_holes",
+    f"""WITH {fx.BLOCKS_SQL}, top AS (SELECT max(slot) // 100 * 100 + 100 AS hi FROM blocks),
+parts AS (SELECT start FROM (SELECT unnest(range(0, (SELECT hi FROM top), 100)) AS start) WHERE (start // 100) % 7 <> 3),
+spans AS (SELECT start, start + 100 AS stop FROM parts UNION ALL SELECT start + 20, start + 60 FROM parts UNION ALL SELECT hi, hi FROM top),
+reached AS (SELECT start, max(stop) OVER (ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT start, max(stop) AS stop FROM spans GROUP BY start)),
+holes AS (SELECT coalesce(reach, 0) AS start, start AS stop FROM reached WHERE start > coalesce(reach, 0))
+SELECT h.start, h.stop, count(*) AS blocks FROM holes h JOIN blocks b ON b.slot >= h.start AND b.slot < h.stop GROUP BY 1, 2""",
+)
 def u2(spark, d):
     """Holes that finished intervals leave in the range, as far as they hold a block.
 
     Intervals of 100 slots, one in seven not finished, others finished twice and overlapping."""
     b = fx.blocks(spark, d).select("slot")
-    hi = (b.agg(F.max("slot")).first()[0] or 0) // 100 * 100 + 100
-    parts = spark.range(0, hi, 100).withColumnRenamed("id", "start").filter("(start div 100) % 7 <> 3")
+    top = b.agg(F.expr("max(slot) div 100 * 100 + 100").alias("hi"))
+    runs = top.withColumn("run", F.explode(F.expr("sequence(0L, (hi - 100) div 409600)"))).repartition("run")
+    parts = runs.select(F.explode(F.expr("sequence(run * 409600, least(hi - 100, run * 409600 + 409500), 100L)")).alias("start")).filter("(start div 100) % 7 <> 3")
     spans = parts.select("start", (F.col("start") + 100).alias("stop")).unionByName(parts.select((F.col("start") + 20).alias("start"), (F.col("start") + 60).alias("stop")))
-    spans = spans.unionByName(spark.createDataFrame([(hi, hi)], "start bigint, stop bigint"))
+    spans = spans.unionByName(top.select(F.col("hi").alias("start"), F.col("hi").alias("stop")))
     holes = coverage_holes(spans)
     present = b.select("slot", F.expr("slot div 100").alias("c"))
     cells = holes.withColumn("c", F.explode(F.sequence(F.expr("start div 100"), F.expr("(stop - 1) div 100"))))
@@ -244,7 +282,8 @@ def u4(spark, d):
     return whole.groupBy("arena").agg(F.count(F.lit(1)).alias("updates"))
 
 
-@query("U5_missing_slots", f"WITH {fx.BLOCKS_SQL} SELECT slot FROM (SELECT unnest(range(0, 2000, 50)) AS slot) ANTI JOIN blocks USING (slot)")
+@query("U5_missing_slots", f"WITH {fx.BLOCKS_SQL} SELECT slot FROM {calendar_sql('slots')} ANTI JOIN blocks USING (slot)")
 def u5(spark, d):
-    return spark.range(0, 2000, 50).withColumnRenamed("id", "slot").join(fx.blocks(spark, d).select("slot"), "slot", "left_anti")
+    """Slots of the ledger's range that hold no block, whether skipped or never seen."""
+    return calendar(fx.slot_ids(spark, d)).join(fx.blocks(spark, d).select("slot"), "slot", "left_anti")
 

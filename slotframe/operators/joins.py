@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans import fixtures as fx
 from ..plans.register import query
 from .analyses import A1_SQL, _a1
-from .ordered import with_last_present
+from .ordered import with_last_present, with_running
 
 
 def backfill_times(rows: DataFrame, status: DataFrame) -> DataFrame:
@@ -82,13 +82,13 @@ def j4(spark, d):
     return r.select("slot", "entry_index", F.explode(F.sequence("tx_start", F.col("tx_end") - 1)).alias("tx_pos"))
 
 
-MANIFEST_SQL = "manifest AS (SELECT k AS pubkey, row_number() OVER (ORDER BY k) - 1 AS ordinal FROM (SELECT DISTINCT user_id AS k FROM events WHERE user_id <= 40 UNION SELECT 999999999))"
+MANIFEST_SQL = "manifest AS (SELECT k AS pubkey, row_number() OVER (ORDER BY k) - 1 AS ordinal FROM (SELECT DISTINCT user_id AS k FROM events WHERE event_type = 'purchase' AND value >= 200 UNION SELECT 999999999))"
 
 
 def manifest(spark, d) -> DataFrame:
-    """Selected accounts with their ordinals, one of them absent from the updates."""
-    keys = fx.updates(spark, d).filter("pubkey <= 40").select("pubkey").unionByName(spark.range(1).select(F.lit(999999999).cast("bigint").alias("pubkey"))).distinct()
-    return keys.withColumn("ordinal", F.row_number().over(Window.orderBy("pubkey")) - 1)
+    """Selected accounts, those with a large purchase, with their ordinals; one of them is absent from the updates."""
+    keys = fx.updates(spark, d).filter("kind = 'purchase' and lamports >= 20000").select("pubkey").unionByName(spark.range(1).select(F.lit(999999999).cast("bigint").alias("pubkey"))).distinct()
+    return with_running(keys.withColumn("one", F.lit(1)), "pubkey", "one", "n").select("pubkey", (F.col("n") - 1).cast("int").alias("ordinal"))
 
 
 @query("J5_manifest_ordinals", f"WITH {fx.UPD_SQL}, {MANIFEST_SQL} SELECT write_version, CAST(ordinal AS INTEGER) AS ordinal FROM upd JOIN manifest USING (pubkey)")
@@ -118,20 +118,29 @@ def j6(spark, d):
     return want.join(got, "slot", "full_outer").select("slot", verdict.alias("verdict"))
 
 
-def calendar(spark, lo: int, hi: int) -> DataFrame:
-    return spark.range(lo, hi).withColumnRenamed("id", "slot")
+def calendar(rows: DataFrame, width: int = 4096) -> DataFrame:
+    """Every slot from the first to the last of ``rows``: runs of ``width`` slots are dealt out, then each is filled."""
+    ends = rows.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
+    runs = ends.withColumn("run", F.explode(F.expr(f"sequence(lo div {width}, hi div {width})"))).repartition("run")
+    return runs.select(F.explode(F.expr(f"sequence(greatest(lo, run * {width}), least(hi, run * {width} + {width - 1}))")).alias("slot"))
 
 
-@query("J7_calendar_frames", f"WITH {fx.TX_SQL} SELECT s.slot, count(tx_idx) AS txs FROM (SELECT unnest(range(0, 2000)) AS slot) s LEFT JOIN tx USING (slot) GROUP BY s.slot")
+def calendar_sql(table: str) -> str:
+    return f"(SELECT unnest(range((SELECT min(slot) FROM {table}), (SELECT max(slot) + 1 FROM {table}))) AS slot)"
+
+
+@query("J7_calendar_frames", f"WITH {fx.TX_SQL}, {fx.SLOTS_SQL} SELECT s.slot, count(tx_idx) AS txs FROM {calendar_sql('slots')} s LEFT JOIN tx USING (slot) GROUP BY s.slot")
 def j7(spark, d):
-    """Every slot of a range has a row, an empty one too."""
+    """Every slot of the ledger's range has a row, an empty one too."""
     counts = fx.transactions(spark, d).groupBy("slot").agg(F.count(F.lit(1)).alias("txs"))
-    return calendar(spark, 0, 2000).join(counts, "slot", "left").fillna(0, ["txs"])
+    return calendar(fx.slot_ids(spark, d)).join(counts, "slot", "left").fillna(0, ["txs"])
 
 
-query("K10_slot_frames", f"WITH {fx.UPD_SQL} SELECT s.slot, count(write_version) AS updates FROM (SELECT unnest(range(0, 5000)) AS slot) s LEFT JOIN upd USING (slot) GROUP BY s.slot")(
-    lambda spark, d: calendar(spark, 0, 5000).join(fx.updates(spark, d).groupBy("slot").agg(F.count(F.lit(1)).alias("updates")), "slot", "left").fillna(0, ["updates"])
-)
+@query("K10_slot_frames", f"WITH {fx.UPD_SQL} SELECT s.slot, count(write_version) AS updates FROM {calendar_sql('upd')} s LEFT JOIN upd USING (slot) GROUP BY s.slot")
+def k10(spark, d):
+    """A frame for every slot from the first update to the last, empty ones too."""
+    u = fx.updates(spark, d)
+    return calendar(u.select("slot")).join(u.groupBy("slot").agg(F.count(F.lit(1)).alias("updates")), "slot", "left").fillna(0, ["updates"])
 
 
 @query(
@@ -147,17 +156,14 @@ def j8(spark, d):
     return s.filter("kind = 'skipped'").select("slot", F.when(F.col("slot") - F.col("p") <= 64, F.col("p")).alias("previous"), "next")
 
 
-SNAP_SQL = f"{fx.BLOCKS_SQL}, snaps AS (SELECT slot FROM blocks WHERE slot % 700 = 0), targets AS (SELECT slot AS target FROM blocks WHERE slot % 333 = 0)"
+SNAP_SQL = f"{fx.BLOCKS_SQL}, snaps AS (SELECT slot FROM blocks WHERE slot % 700 = 0), targets AS (SELECT slot AS target FROM blocks)"
 
 
-@query("J9_newest_snapshot", f"WITH {SNAP_SQL} SELECT target, (SELECT max(slot) FROM snaps WHERE slot <= target) AS snapshot FROM targets")
+@query("J9_newest_snapshot", f"WITH {SNAP_SQL} SELECT target, s.slot AS snapshot FROM targets ASOF LEFT JOIN snaps s ON target >= s.slot")
 def j9(spark, d):
-    """The newest snapshot at or before each target, as one pass over both in slot order."""
-    b = fx.blocks(spark, d).select("slot")
-    both = b.filter("slot % 700 = 0").withColumn("snap", F.lit(True)).unionByName(b.filter("slot % 333 = 0").withColumn("snap", F.lit(False)))
-    merged = both.groupBy("slot").agg(F.bool_or("snap").alias("snap"), F.bool_or(~F.col("snap")).alias("target"))
-    found = with_last_present(merged, "slot", F.col("snap"), "snapshot")
-    return found.filter("target").select(F.col("slot").alias("target"), "snapshot")
+    """The newest snapshot at or before each block, in one pass in slot order; a snapshot is taken at every 700th slot that holds a block."""
+    found = with_last_present(fx.blocks(spark, d).select("slot"), "slot", F.col("slot") % 700 == 0, "snapshot")
+    return found.select(F.col("slot").alias("target"), "snapshot")
 
 
 @query("J10_bucket_of_slot", f"WITH {fx.BLOCKS_SQL} SELECT least(slot // 128, 9) AS bucket, count(*) AS blocks, min(slot) AS first_slot FROM blocks GROUP BY 1")
@@ -183,21 +189,21 @@ def j12(spark, d):
 
 @query(
     "J13_completeness",
-    f"""WITH {fx.TX_SQL}, {fx.BLOCKS_SQL}, got AS (SELECT slot, count(*) AS n FROM tx WHERE slot % 7 <> 0 OR tx_idx > 1 GROUP BY slot),
+    f"""WITH {fx.TX_SQL}, {fx.SLOTS_SQL}, got AS (SELECT slot, count(*) AS n FROM tx WHERE slot % 7 <> 0 OR tx_idx > 1 GROUP BY slot),
 want AS (SELECT slot, count(*) AS n FROM tx WHERE slot % 11 <> 0 GROUP BY slot)
 SELECT s.slot, CASE WHEN got.n IS NULL AND want.n IS NULL THEN 'NO DATA' WHEN want.n IS NULL THEN 'INCOMPLETE (no block metadata)'
   WHEN coalesce(got.n, 0) < want.n THEN 'INCOMPLETE (fewer)' ELSE 'COMPLETE' END AS verdict
-FROM (SELECT unnest(range(0, 3000)) AS slot) s LEFT JOIN got USING (slot) LEFT JOIN want USING (slot)""",
+FROM {calendar_sql('slots')} s LEFT JOIN got USING (slot) LEFT JOIN want USING (slot)""",
 )
 def j13(spark, d):
-    """Delivered against declared counts for every slot of a range."""
+    """Delivered against declared counts for every slot of the ledger's range."""
     tx = fx.transactions(spark, d).select("slot", "tx_idx")
     got = tx.filter("slot % 7 <> 0 or tx_idx > 1").groupBy("slot").agg(F.count(F.lit(1)).alias("got"))
     want = tx.filter("slot % 11 <> 0").groupBy("slot").agg(F.count(F.lit(1)).alias("want"))
     verdict = (
         F.when(F.col("got").isNull() & F.col("want").isNull(), "NO DATA").when(F.col("want").isNull(), "INCOMPLETE (no block metadata)").when(F.coalesce("got", F.lit(0)) < F.col("want"), "INCOMPLETE (fewer)").otherwise("COMPLETE")
     )
-    return calendar(spark, 0, 3000).join(got, "slot", "left").join(want, "slot", "left").select("slot", verdict.alias("verdict"))
+    return calendar(fx.slot_ids(spark, d)).join(got, "slot", "left").join(want, "slot", "left").select("slot", verdict.alias("verdict"))
 
 
 @query(

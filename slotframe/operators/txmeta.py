@@ -53,41 +53,84 @@ def first_byte(data: Column) -> Column:
     return F.when(F.octet_length(data) > 0, F.conv(F.hex(F.substring(data, 1, 1)), 16, 10).cast("int"))
 
 
-def _any(keys: tuple) -> Column:
-    return F.array(*[F.lit(k) for k in keys])
+def _resolved(keys: Column, total: Column, p: Programs):
+    """What the rules ask of an instruction, for a transform over instructions."""
+
+    def resolve(i):
+        program = F.get(keys, i["program_index"])
+        budget = F.coalesce(program == F.lit(p.budget), F.lit(False))
+        data, tag = i["data"], first_byte(i["data"])
+        value = F.when(budget, F.when(tag == 3, little_endian(data, 1, 8)).when(tag.isin(1, 2, 4), little_endian(data, 1, 4)))
+        known = F.when(tag.isin(1, 2, 4), F.octet_length(data) >= 5).when(tag == 3, F.octet_length(data) >= 9)
+        one = lambda names: F.coalesce(program.isin(*names), F.lit(False)).cast("int")
+        signed = F.when(program == F.lit(p.secp256k1), 1).when(program == F.lit(p.ed25519), 2).when(program == F.lit(p.secp256r1), 3).otherwise(0)
+        stray = program.isNull() | F.coalesce(F.exists(i["accounts"], lambda a: a >= total), F.lit(False))
+        return F.struct(
+            F.when(budget, F.coalesce(tag, F.lit(0))).otherwise(-1).alias("tag"),
+            value.alias("value"),
+            (budget & ~F.coalesce(known, F.lit(False))).alias("unknown"),
+            F.octet_length(data).cast("bigint").alias("size"),
+            one(p.cheap).alias("cheap"),
+            one(p.counted).alias("counted"),
+            signed.alias("signed"),
+            F.coalesce(tag, F.lit(0)).cast("bigint").alias("first"),
+            stray.alias("stray"),
+        )
+
+    return resolve
+
+
+def _zero(**columns) -> Column:
+    return F.struct(*[F.lit(v).cast(t).alias(k) for k, (v, t) in columns.items()])
+
+
+#: The fold's start: sums, flags, the budget tags seen as bits, and the last value of each tag (1 heap, 2 limit, 3 price, 4 loaded).
+_START = dict(data=(0, "bigint"), cheap=(0, "int"), counted=(0, "int"), secp=(0, "bigint"), ed=(0, "bigint"), r1=(0, "bigint"), stray=(False, "boolean"), unknown=(False, "boolean"), again=(False, "boolean"), seen=(0, "int"))
+_VALUES = {f"v{k}": (None, "decimal(20,0)") for k in (1, 2, 3, 4)}
+
+
+def _fold(a, i) -> Column:
+    bit = F.when(i["tag"].between(1, 4), F.pow(F.lit(2.0), i["tag"]).cast("int")).otherwise(0)
+    signed = lambda name, k: (a[name] + F.when(i["signed"] == k, i["first"]).otherwise(0)).alias(name)
+    return F.struct(
+        (a["data"] + i["size"]).alias("data"),
+        (a["cheap"] + i["cheap"]).alias("cheap"),
+        (a["counted"] + i["counted"]).alias("counted"),
+        signed("secp", 1),
+        signed("ed", 2),
+        signed("r1", 3),
+        (a["stray"] | i["stray"]).alias("stray"),
+        (a["unknown"] | i["unknown"]).alias("unknown"),
+        (a["again"] | (a["seen"].bitwiseAND(bit) != 0)).alias("again"),
+        a["seen"].bitwiseOR(bit).alias("seen"),
+        *[F.when(i["tag"] == k, i["value"]).otherwise(a[f"v{k}"]).alias(f"v{k}") for k in (1, 2, 3, 4)],
+    )
 
 
 def tx_meta(tx: DataFrame, p: Programs = Programs()) -> DataFrame:
-    """One row a transaction, in the column order of the sink."""
+    """One row a transaction, in the column order of the sink; instructions are resolved and folded once."""
     c = F.col
     dec = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("decimal(38,0)")
     v1 = c("config").isNotNull()
     legacy = c("is_legacy")
     static_n, lw, lr = F.size("static_keys"), F.size("loaded_writable"), F.size("loaded_readonly")
-    accounts = F.concat("static_keys", "loaded_writable", "loaded_readonly")
     ro_static = c("ro_signed") + c("ro_unsigned")
-    t = tx.withColumns({"_all": accounts, "_n": static_n + lw + lr}).withColumn("_ix", F.transform("instructions", lambda i: F.struct(F.get("_all", i["program_index"]).alias("program"), i["data"].alias("data"), i["accounts"].alias("accounts"), i["program_index"].alias("at"))))
-    ix = c("_ix")
-    budget = F.filter(ix, lambda i: i["program"] == F.lit(p.budget))
-    static_budget = budget
-    tagged = lambda tag: F.filter(static_budget, lambda i: first_byte(i["data"]) == tag)
-    last = lambda tag, size: little_endian(F.element_at(tagged(tag), -1)["data"], 1, size)
-    have = lambda tag: F.size(tagged(tag)) > 0
+    t = tx.withColumns({"_all": F.concat("static_keys", "loaded_writable", "loaded_readonly"), "_n": static_n + lw + lr})
+    t = t.withColumn("_ix", F.transform("instructions", _resolved(c("_all"), c("_n"), p)))
+    t = t.withColumn("_s", F.aggregate("_ix", _zero(**_START, **_VALUES), _fold))
+    s = lambda name: c("_s")[name]
     is_vote = F.coalesce(F.get("static_keys", F.get("instructions", F.lit(0))["program_index"]) == F.lit(p.vote), F.lit(False))
-    limit_seen = F.when(have(2), last(2, 4))
-    price_seen = F.when(have(3), last(3, 8))
+    limit_seen, price_seen = s("v2"), s("v3")
     cu_limit = F.when(v1, c("config.compute_unit_limit").cast("decimal(20,0)")).otherwise(limit_seen)
     cu_price = F.when(~v1, price_seen)
 
     # the scheduler's view
-    total = lambda program: F.aggregate(F.filter(ix, lambda i: i["program"] == F.lit(program)), F.lit(0).cast("bigint"), lambda a, i: a + F.coalesce(first_byte(i["data"]), F.lit(0)))
-    data_len = F.aggregate(ix, F.lit(0).cast("bigint"), lambda a, i: a + F.octet_length(i["data"]))
-    cheap = F.size(F.filter(ix, lambda i: F.array_contains(_any(p.cheap), i["program"])))
-    default_units = cheap * BUILTIN_UNITS + (F.size(ix) - cheap) * OTHER_UNITS
+    n_ix, data_len = F.size("instructions"), s("data")
+    default_units = s("cheap") * BUILTIN_UNITS + (n_ix - s("cheap")) * OTHER_UNITS
     units = F.least(F.when(v1, F.coalesce(c("config.compute_unit_limit"), F.lit(0)).cast("bigint")).otherwise(F.coalesce(limit_seen.cast("bigint"), default_units.cast("bigint"))), F.lit(MAX_UNITS))
-    loaded = F.least(F.when(v1, F.coalesce(c("config.loaded_limit"), F.lit(0)).cast("bigint")).otherwise(F.when(have(4), last(4, 4).cast("bigint")).otherwise(MAX_LOADED)), F.lit(MAX_LOADED))
+    loaded = F.least(F.when(v1, F.coalesce(c("config.loaded_limit"), F.lit(0)).cast("bigint")).otherwise(F.when(s("seen").bitwiseAND(F.lit(16)) != 0, s("v4").cast("bigint")).otherwise(MAX_LOADED)), F.lit(MAX_LOADED))
     locks = c("_n") - (ro_static + lr)
-    sigs, secp, ed, r1 = c("num_signatures"), total(p.secp256k1), total(p.ed25519), total(p.secp256r1)
+    sigs, secp, ed, r1 = c("num_signatures"), s("secp"), s("ed"), s("r1")
     cost = sigs * SIGNATURE + secp * SECP256K1_SIGNATURE + ed * ED25519_SIGNATURE + r1 * SECP256R1_SIGNATURE + locks * WRITE_LOCK + F.floor(data_len / 4) + units + F.ceil(loaded / LOADED_PAGE) * PAGE_COST
     priority_fee = F.when(v1, dec(F.coalesce(c("config.priority_fee"), F.lit(0)))).otherwise(F.ceil(dec(F.coalesce(cu_price, F.lit(0))) * units.cast("decimal(10,0)") / F.lit(MICRO).cast("decimal(7,0)")).cast("decimal(38,0)"))
     priority_fee = F.least(priority_fee, dec(U64))
@@ -97,24 +140,19 @@ def tx_meta(tx: DataFrame, p: Programs = Programs()) -> DataFrame:
     t = t.withColumns({"_cost": cost.cast("bigint"), "_scaled": scaled})
     priority = F.expr("cast(_scaled div (_cost + 1) as decimal(20,0))")
 
-    heap = F.when(v1, c("config.heap_size").cast("bigint")).when(have(1), last(1, 4).cast("bigint"))
-    known_tag = lambda i: F.coalesce(
-        F.when(first_byte(i["data"]).isin(1, 2, 4), F.octet_length(i["data"]) >= 5).when(first_byte(i["data"]) == 3, F.octet_length(i["data"]) >= 9).otherwise(False), F.lit(False)
-    )
+    heap = F.when(v1, c("config.heap_size").cast("bigint")).otherwise(s("v1").cast("bigint"))
     bad = (
         (sigs != c("required"))
         | (c("ro_signed") > c("required"))
         | (static_n < c("required"))
         | (c("ro_unsigned") > static_n - c("required"))
         | ((legacy | v1) & (lw + lr > 0))
-        | F.exists(ix, lambda i: i["program"].isNull() | F.exists(F.coalesce(i["accounts"], F.array().cast("array<int>")), lambda a: a >= c("_n")))
+        | s("stray")
         | F.coalesce((heap < MIN_HEAP) | (heap > MAX_HEAP) | (heap % 1024 != 0), F.lit(False))
         | (data_len > MAX_DATA)
-        | (~v1 & (F.exists(budget, lambda i: ~known_tag(i)) | (F.size(budget) != F.size(F.array_distinct(F.transform(budget, lambda i: first_byte(i["data"])))))))
+        | (~v1 & (s("unknown") | s("again")))
         | (~v1 & F.coalesce(loaded == 0, F.lit(False)))
     )
-    n_ix = F.size(ix)
-    builtin = F.size(F.filter(ix, lambda i: F.array_contains(_any(p.counted), i["program"])))
     return t.select(
         "slot",
         "tx_idx",
@@ -128,7 +166,7 @@ def tx_meta(tx: DataFrame, p: Programs = Programs()) -> DataFrame:
         is_vote.alias("is_vote"),
         c("is_success"),
         F.when(is_vote, 1).otherwise(saturate16(n_ix)).alias("num_ixs"),
-        F.when(is_vote, 1).otherwise(saturate16(builtin)).alias("num_ixs_builtin"),
+        F.when(is_vote, 1).otherwise(saturate16(s("counted"))).alias("num_ixs_builtin"),
         wrap16(F.greatest(static_n - ro_static, F.lit(0)) + lw).alias("num_accounts_rw"),
         wrap16(ro_static + lr).alias("num_accounts_ro"),
         F.when(legacy, -1).when(v1, 1).otherwise(0).alias("tx_version"),

@@ -66,9 +66,10 @@ def w3(spark, d):
 @query("W4_slot_windows", f"WITH {fx.TX_SQL}, lo AS (SELECT min(slot) AS f FROM tx) SELECT (slot - f) // 1000 AS window, count(*) AS txs, CAST(sum(fee) AS BIGINT) AS fees FROM tx, lo GROUP BY 1")
 def w4(spark, d, width=1000):
     """Windows of slots aligned to the first one."""
-    tx = fx.transactions(spark, d)
-    first = tx.agg(F.min("slot")).first()[0] or 0
-    return tx.groupBy(F.expr(f"(slot - {first}) div {width}").alias("window")).agg(F.count(F.lit(1)).alias("txs"), F.sum("fee").alias("fees"))
+    per = fx.transactions(spark, d).groupBy("slot").agg(F.count(F.lit(1)).alias("txs"), F.sum("fee").alias("fees"))
+    first = fx.instructions(spark, d).agg(F.min("slot").alias("first"))
+    per = per.withColumn("_one", F.lit(1)).join(F.broadcast(first.withColumn("_one", F.lit(1))), "_one")
+    return per.groupBy(F.expr(f"(slot - first) div {width}").alias("window")).agg(F.sum("txs").alias("txs"), F.sum("fees").alias("fees"))
 
 
 PULSE_SQL = f"{fx.BLOCKS_SQL}, {fx.TX_SQL}, per AS (SELECT slot, count(*) AS n FROM tx GROUP BY slot), pulse AS (SELECT slot, CAST(sum(n) OVER (ORDER BY slot) AS BIGINT) AS total FROM per)"

@@ -76,6 +76,11 @@ SLOTS_SQL = """slots AS (SELECT o_orderkey AS slot, CAST(epoch(o_orderdate) AS B
   o_orderpriority AS priority, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) THEN 'block' ELSE 'skipped' END AS kind FROM orders)"""
 
 
+def slot_ids(spark, sf_dir) -> DataFrame:
+    """The slots alone, without looking for their instructions."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slot"))
+
+
 def blocks(spark, sf_dir) -> DataFrame:
     return slots(spark, sf_dir).filter("kind = 'block'").drop("kind")
 

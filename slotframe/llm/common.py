@@ -26,16 +26,28 @@ SLICE_BYTES = 128 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (tests) gets a temporary one; on a cluster that is an error, for
+    executors don't see the driver's folders.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="slotframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+#: Scratch folders of this driver, in order; :func:`release_since` deletes them.
+_MADE: list[str] = []
+
+
 def new_dir(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/slotframe/{uuid.uuid4().hex}/{tag}"
+    top = f"{shared_dir(spark)}/slotframe/{uuid.uuid4().hex}"
+    _MADE.append(top)
+    return f"{top}/{tag}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -48,14 +60,41 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables that :func:`materialize` wrote once nothing reads them any more."""
     for df in frames:
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def scratch_mark() -> int:
+    return len(_MADE)
+
+
+def release_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Delete all scratch folders made since :func:`scratch_mark`, but for those of ``keep``."""
+    held = [getattr(df, "_scratch_path", "") for df in keep]
+    for top in _MADE[mark:]:
+        if not any(x.startswith(top) for x in held):
+            _delete(spark, top)
+    _MADE[mark:] = [top for top in _MADE[mark:] if any(x.startswith(top) for x in held)]
+
+
+def spare(columns: list[str], *names: str) -> list[str]:
+    """Names like ``names`` that none of the columns has, whatever its case."""
+    held, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in held:
+            n = f"_{n}"
+        held.add(n.lower())
+        out.append(n)
+    return out
 
 
 # ---------------------------------------------------------------- hashing

@@ -121,7 +121,9 @@ def classes(keys: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: C
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, tx, y, ty = batch.columns
-            ok = similar(tx.to_pylist(), ty.to_pylist())
+            ok: list[bool] = []
+            for s in range(0, batch.num_rows, 256):
+                ok += similar(tx.slice(s, 256).to_pylist(), ty.slice(s, 256).to_pylist())
             yield pa.RecordBatch.from_arrays([x, y, pa.array(ok, pa.bool_())], names=["x", "y", "ok"])
 
     def check(met: DataFrame) -> DataFrame:

@@ -4,12 +4,18 @@ A document is its sequence of five-word shingles, each labelled with the number
 occurrence.  A sketch takes the ``size`` labelled shingles of least hash and keeps them
 in text order, so it agrees for two texts about as often as an edit keeps both the
 shingles and their order.  Documents that share one of ``count`` sketches are candidates;
-a candidate is verified by a banded alignment of the two shingle sequences: similar are
-those with common / (n + m - common) of 0.8 or more, common the aligned shingles.
+a candidate is verified by a banded alignment of the two word sequences: similar are those
+whose aligned words are 0.8 or more of the words of the longer text (an edit similarity: a
+changed, missing or added word costs one, not the five shingles it is part of).
+
+Of pairs with 5 % of the words changed nearly all share a sketch, with 10 % about 95 in a
+hundred; ``tests/llm`` measures it.
 
 Defined cases: a null text is empty; equal texts are one class before any sketch; texts
 of fewer than five words join only equal ones; a class has the least doc_id of its
-documents as its id (null ids last); repeated rows are copies of each other.
+documents as its id (null ids last); repeated rows are copies of each other, of which
+:func:`drop_near_duplicates` keeps one; a text of any length is sketched as a whole; an empty
+table gives an empty result; other columns may have any name and come back as they are.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_POWERS, Texts, Words, materialize, mix64, prefix_hash, seq_hash
+from .common import U64, WORD_POWERS, Texts, Words, materialize, mix64, prefix_hash, seq_hash, spare
 from .links import KEYS, classes, digest_columns, pack_keys
 from .windows import bucket_count
 
@@ -117,39 +123,51 @@ def banded_common(a: np.ndarray, b: np.ndarray, band: int) -> int:
 
 
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """common / (n + m - common) of two labelled shingle sequences, or 0 where it can't reach ``least``."""
+    """Aligned words over the words of the longer text, or 0 where that can't reach ``least``."""
     n, m = len(a), len(b)
-    if not n or not m or min(n, m) < least * max(n, m):
+    most = max(n, m)
+    need = int(np.ceil(least * most - 1e-9))
+    if not n or not m or min(n, m) < need:
         return 0.0
-    both, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(both) < least * (n + m - len(both)):
+    counts: dict[int, int] = {}
+    for x in a.tolist():
+        counts[x] = counts.get(x, 0) + 1
+    shared = 0
+    for x in b.tolist():
+        c = counts.get(x, 0)
+        if c:
+            shared += 1
+            counts[x] = c - 1
+    if shared < need:  # too few words in common, whatever their order
         return 0.0
-    order = np.argsort(ia)
-    if np.all(np.diff(ib[order]) > 0):  # all that is common is in order: the alignment is known
-        common = len(both)
-    else:
-        common = banded_common(a, b, int((n + m) * (1 - least) / (1 + least)) + 1)
-    return common / (n + m - common)
+    common = banded_common(a, b, most - need)  # an alignment of need words strays no further from the diagonal
+    return common / most if common >= need else 0.0
+
+
+def word_sequences(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a list of texts, and the first one of each."""
+    w = Words(Texts.of(pa.array([x or "" for x in texts], pa.large_string())))
+    return w.hash, w.off
 
 
-def text_shingles(texts: list, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled shingles of a list of texts, and the first one of each."""
-    h, off = shingles(Texts.of(pa.array([x or "" for x in texts], pa.large_string())), width)
+def labelled_words(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """The same, with the occurrences of a word in its text told apart."""
+    h, off = word_sequences(texts)
     return labelled(h, off), off
 
 
-def similar_texts(left: list, right: list, width: int, least: float) -> list[bool]:
+def similar_texts(left: list, right: list, least: float) -> list[bool]:
     out = []
     for s in range(0, len(left), 64):
         sequences = []
         for part in (left[s : s + 64], right[s : s + 64]):
-            h, off = text_shingles(part, width)
+            h, off = word_sequences(part)
             sequences.append([h[i:j] for i, j in zip(off[:-1], off[1:], strict=True)])
         out += [aligned_similarity(a, b, least) >= least for a, b in zip(*sequences, strict=True)]
     return out
 
 
-def near_classes(docs: DataFrame, width: int = 5, least: float = 0.8, count: int = 12, size: int = 3, id_col="doc_id", text_col="text") -> DataFrame:
+def near_classes(docs: DataFrame, width: int = 5, least: float = 0.8, count: int = 16, size: int = 2, id_col="doc_id", text_col="text") -> DataFrame:
     """(node, label) of the digests of texts that are linked with others: texts of one class share their label, a digest."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(text.alias("text")).withColumns(digest_columns(F.col("text")))
@@ -171,7 +189,7 @@ def near_classes(docs: DataFrame, width: int = 5, least: float = 0.8, count: int
     keys = own.select("id", "text").mapInArrow(sketch, KEYS)
     # a merge join at every size: disk use then grows with the input, not with a change of plan
     texts = lambda ids: own.join(ids.hint("merge"), "id", "left_semi").groupBy("digest").agg(F.first("id").alias("id"), F.first("text").alias("text"))
-    return classes(keys, texts, lambda a, b: similar_texts(a, b, width, least), lambda t: text_shingles(t, width), least)
+    return classes(keys, texts, lambda a, b: similar_texts(a, b, least), labelled_words, least)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
@@ -194,11 +212,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each class, with the columns it came with: that of the least id, one row of it."""
     rows = materialize(_classes(docs, id_col, text_col, **options), "classes")
-    stay = rows.groupBy("label").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), "digest")).alias("s"), F.count(F.lit(1)).alias("c"))
-    stay = materialize(stay.select(F.col("s.i").alias("_i"), F.col("s.digest").alias("_d")), "kept-texts")
+    stay = rows.groupBy("label").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), "digest")).alias("s"))
+    ident, digest = spare(docs.columns, "_stay_id", "_stay_digest")
+    stay = materialize(stay.select(F.col("s.i").alias(ident), F.col("s.digest").alias(digest)), "kept-texts")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kept = docs.join(stay, F.col(id_col).cast("bigint").eqNullSafe(F.col("_i")) & (digest_columns(text)["digest"] == F.col("_d")), "left_semi")
-    twice = rows.join(stay, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("digest") == F.col("_d")), "left_semi").groupBy("_id", "digest").count().filter("count > 1")
+    kept = docs.join(stay, F.col(id_col).cast("bigint").eqNullSafe(F.col(ident)) & (digest_columns(text)["digest"] == F.col(digest)), "left_semi")
+    twice = rows.groupBy("_id", "digest").count().filter("count > 1")
     if twice.isEmpty():
         return kept
     # rows that share id and text: one of each stays

@@ -25,10 +25,10 @@ def classes(items, pairs):
     return {frozenset(v) for v in out.values()}
 
 
-def ordered_similarity(a, b, k=5):
-    """Longest common subsequence of the shingle sequences over their union, by the plain table."""
-    x, y = ([tuple(w[i : i + k]) for i in range(len(w) - k + 1)] for w in (words(a), words(b)))
-    if not x or not y:
+def aligned_share(a, b):
+    """Longest common subsequence of the words over the words of the longer text, by the plain table."""
+    x, y = words(a), words(b)
+    if min(len(x), len(y)) < 5:
         return float(a == b)
     row = [0] * (len(y) + 1)
     for p in x:
@@ -36,7 +36,7 @@ def ordered_similarity(a, b, k=5):
         for j, q in enumerate(y):
             new.append(row[j] + 1 if p == q else max(row[j + 1], new[j]))
         row = new
-    return row[-1] / (len(x) + len(y) - row[-1])
+    return row[-1] / max(len(x), len(y))
 
 
 def near_rows(seed=8):
@@ -49,13 +49,14 @@ def near_rows(seed=8):
             for _ in range(c):
                 v[rng.randrange(len(v))] = f"x{rng.random()}"
             rows.append((g * 10 + c, " ".join(v), "xx", "a"))
+    rows += [(500 + g, change_words(rng, rows[g][1], 40), "xx", "a") for g in range(8)]  # no near copies any more
     return rows
 
 
 def test_documents_against_brute_force(spark):
     rows = near_rows()
     got = {r.doc_id: r for r in minhash.near_duplicates(table(spark, rows)).collect()}
-    pairs = [(a[0], b[0]) for i, a in enumerate(rows) for b in rows[:i] if a[1] == b[1] or ordered_similarity(a[1], b[1]) >= 0.8]
+    pairs = [(a[0], b[0]) for i, a in enumerate(rows) for b in rows[:i] if a[1] == b[1] or aligned_share(a[1], b[1]) >= 0.8]
     want = classes([r[0] for r in rows], pairs)
     found = defaultdict(set)
     for r in got.values():
@@ -113,11 +114,39 @@ def test_alignment_matches_plain_table():
         assert minhash.banded_common(np.array(a), np.array(b), 50) == row[-1]
 
 
+def test_similarity_matches_plain_table():
+    rng = random.Random(13)
+    for _ in range(60):
+        a = prose(rng, rng.randint(5, 60))
+        w = [x for x in a.split() if rng.random() > 0.08]
+        for _ in range(rng.randint(0, 6)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice(a.split()))
+        b = " ".join(w)
+        want = aligned_share(a, b)
+        x, y = (minhash.word_sequences([t])[0] for t in (a, b))
+        got = minhash.aligned_similarity(x, y, 0.8)
+        assert got == (pytest.approx(want) if want >= 0.8 else 0.0)
+
+
+@pytest.mark.parametrize("share", (0.01, 0.03, 0.05, 0.1))
+def test_recall_of_edited_copies(share):
+    """Nine in ten pairs with up to a tenth of the words changed share a sketch and are verified."""
+    rng = random.Random(17)
+    found, total = 0, 120
+    for _ in range(total):
+        a = prose(rng, 150)
+        b = change_words(rng, a, max(1, round(150 * share)))
+        h, off = minhash.shingles(Texts.of(pa.array([a, b])), 5)
+        k = minhash.order_sketches(minhash.labelled(h, off), off, 16, 2)
+        found += bool((k[0] == k[1]).any()) and minhash.similar_texts([a], [b], 0.8)[0]
+    assert found >= 0.9 * total
+
+
 def test_moved_blocks_lower_the_similarity():
     rng = random.Random(6)
     x, y = prose(rng, 60), prose(rng, 60)
     a, b = f"{x} {y}", f"{y} {x}"
-    assert minhash.similar_texts([a, a], [b, a], 5, 0.8) == [False, True]
+    assert minhash.similar_texts([a, a], [b, a], 0.8) == [False, True]
 
 
 def test_sketch_agrees_on_equal_text_and_sees_order():
@@ -220,8 +249,8 @@ def meeting_classes(items, keys, similar):
 def document_classes(spark, texts):
     t = Texts.of(pa.array(texts))
     h, off = minhash.shingles(t, 5)
-    keys = minhash.order_sketches(minhash.labelled(h, off), off, 12, 3)
-    want = meeting_classes(texts, keys, lambda a, b: minhash.similar_texts([a], [b], 5, 0.8)[0])
+    keys = minhash.order_sketches(minhash.labelled(h, off), off, 16, 2)
+    want = meeting_classes(texts, keys, lambda a, b: minhash.similar_texts([a], [b], 0.8)[0])
     found = defaultdict(set)
     for r in minhash.near_duplicates(table(spark, [(i, x, "xx", "a") for i, x in enumerate(texts)])).collect():
         found[r.class_id].add(r.doc_id)
@@ -236,7 +265,7 @@ def coarser(found, want):
 def test_documents_of_a_mutation_tree(spark):
     """Copies of copies are one class although most are far from any one centre."""
     rng = random.Random(21)
-    texts = mutation_tree(rng, 300, lambda x: change_words(rng, x, 2), prose(rng, 150))
+    texts = mutation_tree(rng, 300, lambda x: change_words(rng, x, 8), prose(rng, 150))
     found, want = document_classes(spark, texts)
     assert len(want) < 4
     assert coarser(found, want)

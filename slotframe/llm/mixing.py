@@ -14,7 +14,9 @@ shard orders its documents by a hash.
 Defined cases: a null text has size 0; a null source is a source of its own, last in
 order; a source of size 0 has target 0 and documents of size 0 are drawn like others
 but add no words; a repeated row counts each time; an empty table gives an empty
-result.  All randomness comes from hashes of ids and the seed: reruns agree.
+result; a text of any length has all its words counted and is drawn as a whole; of ``docs``
+only the three named columns are read, and the others, whatever their names, come back as they are.
+All randomness comes from hashes of ids and the seed: reruns agree.
 """
 
 from __future__ import annotations
@@ -22,12 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, materialize
+from .common import WORD_RE, materialize, spare
+from .windows import estimated_bytes
 
 #: Documents in a block, about.
 BLOCK_DOCS = 64
 #: Positions in a run of blocks, the unit of the two-level running sum.
 RUN = 256
+#: Bytes of documents, by the planner's estimate, that one piece of a shard is made for.
+PIECE_BYTES = 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -175,10 +180,17 @@ def plan_mix(docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, shard_levels:
     return placed.select("doc_id", "source", "size", "source_size", "target", "th", draws.alias("draws"))
 
 
+def _in_shards(draws: DataFrame, docs: DataFrame, shard, key) -> DataFrame:
+    """Rows placed and sorted by shard and order key; a shard's rows fall into pieces of about ``PIECE_BYTES``, by ranges of the key."""
+    pieces = max(16, estimated_bytes(docs) // PIECE_BYTES)
+    place = F.floor(F.pmod(F.shiftrightunsigned(key, 1), F.lit(1 << 40)) / F.lit((1 << 40) / pieces)).cast("long")
+    return draws.repartition(shard, place).sortWithinPartitions(shard, place, key)
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """One row a drawn copy: doc_id, source, size, copy, shard and its order ``key``, each shard in shuffled order."""
     plan = plan_mix(docs, **options).select("doc_id", "source", "size", F.inline("draws"))
-    return plan.repartition("shard", F.pmod("key", F.lit(64))).sortWithinPartitions("shard", "key")
+    return _in_shards(plan, docs, F.col("shard"), F.col("key"))
 
 
 def mix_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
@@ -186,12 +198,13 @@ def mix_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col=
 
     Rows that share id, source and text are one document, which all their draws repeat.
     """
+    ident, source, hashed, draw, own = spare(docs.columns, "_mix_id", "_mix_source", "_mix_hash", "_mix_draw", "_mix_own")
     plan = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).filter(F.size("draws") > 0)
-    plan = materialize(plan.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("th").alias("_h"), F.col("draws").alias("_d")), "mix-draws")
-    rows = docs.withColumn("_th", F.xxhash64(F.col(text_col).cast("string")))
-    if not plan.groupBy("_i", "_s", "_h").count().filter("count > 1").isEmpty():
-        plan = plan.groupBy("_i", "_s", "_h").agg(F.flatten(F.collect_list("_d")).alias("_d"))
-        rows = rows.dropDuplicates([id_col, source_col, "_th"])
-    same = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).cast("string").eqNullSafe(F.col("_s")) & (F.col("_th") == F.col("_h"))
-    drawn = rows.join(plan, same).withColumn("_d", F.explode("_d"))
-    return drawn.repartition(F.col("_d.shard"), F.pmod(F.col("_d.key"), F.lit(64))).sortWithinPartitions("_d.shard", "_d.key").select(*docs.columns)
+    plan = materialize(plan.select(F.col("doc_id").alias(ident), F.col("source").alias(source), F.col("th").alias(hashed), F.col("draws").alias(draw)), "mix-draws")
+    rows = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
+    if not plan.groupBy(ident, source, hashed).count().filter("count > 1").isEmpty():
+        plan = plan.groupBy(ident, source, hashed).agg(F.flatten(F.collect_list(draw)).alias(draw))
+        rows = rows.dropDuplicates([id_col, source_col, own])
+    same = F.col(id_col).eqNullSafe(F.col(ident)) & F.col(source_col).cast("string").eqNullSafe(F.col(source)) & (F.col(own) == F.col(hashed))
+    drawn = rows.join(plan, same).withColumn(draw, F.explode(draw))
+    return _in_shards(drawn, docs, F.col(f"{draw}.shard"), F.col(f"{draw}.key")).select(*docs.columns)

@@ -35,7 +35,9 @@ def op2_language_id(spark, sf_dir):
 
 def op3_mix_sources(spark, sf_dir):
     plan = mixing.plan_mix(documents(spark, sf_dir))
-    return plan.select("doc_id", "source", "size", "source_size", "target", (F.size("draws") * F.col("size")).alias("taken"))
+    # the draws as the splitting tree's leaves give them: a shard for each copy
+    shards = F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",")
+    return plan.select("doc_id", "source", "size", "source_size", "target", (F.size("draws") * F.col("size")).alias("taken"), shards.alias("shards"))
 
 
 def op4_suffix_dedup(spark, sf_dir):

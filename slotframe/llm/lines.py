@@ -28,7 +28,9 @@ from .links import KEYS, classes, id_of, pack_keys
 from .windows import bucket_count
 
 #: Lines are hashed in runs of about this many characters.
-RUN_CHARS = 128 << 10
+RUN_CHARS = 64 << 10
+#: Draws of a full bin for an empty one.
+ATTEMPTS = 4
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -41,39 +43,63 @@ def digest(line: str) -> bytes:
     return hashlib.md5(line.encode(), usedforsecurity=False).digest()
 
 
+#: Powers of an odd base and of its inverse modulo 2**32, grown on demand.
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    if len(_POWERS.get(base, ())) < n:
+        up = np.full(max(n, 2 * RUN_CHARS), base, np.uint32)
+        up[0] = 1
+        _POWERS[base] = np.cumprod(up, dtype=np.uint32)
+    return _POWERS[base][:n]
+
+
+def _characters(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the lines, each filled up to ``width``, and the shingles that each has."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    if len(sizes) and sizes.min() < width:
+        lines = [x.ljust(width, "\0") for x in lines]
+    return np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32), np.maximum(sizes - width + 1, 1)
+
+
 def signatures(lines: list[str], width: int, bins: int) -> np.ndarray:
     """lines x bins one-permutation MinHash values; no line may be empty."""
-    sizes = np.array([len(x) for x in lines])
-    padded = [x if len(x) >= width else x + "\0" * (width - len(x)) for x in lines]
-    count = np.maximum(sizes - width + 1, 1)
-    c = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32)
-    off = np.cumsum(np.maximum(sizes, width))
-    h = c.copy()
-    for k in range(1, width):
-        h = h[:-1] * np.uint32(0x01000193) + c[k:]
+    c, count = _characters(lines, width)
+    # a polynomial hash of each shingle modulo 2**32, from prefix sums and inverse powers
+    p = np.zeros(len(c) + 1, np.uint32)
+    np.cumsum(c * _powers(0x01000193, len(c)), dtype=np.uint32, out=p[1:])
+    h = (p[width:] - p[:-width]) * _powers(pow(0x01000193, -1, 1 << 32), len(c) - width + 1)
+    inside = np.ones(len(h), bool)  # shingles that lie in one line
+    end = np.cumsum(count + width - 1)[:-1]
+    inside[(end[:, None] - np.arange(1, width)).ravel()] = False
+    h = h[inside]
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
     h ^= h >> np.uint32(13)
     h *= np.uint32(0x297A2D39)
     h ^= h >> np.uint32(16)
-    start = off - np.maximum(sizes, width)
-    owner = np.repeat(np.arange(len(lines)), count)
-    at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    h = h[at]
     sig = np.full(len(lines) * bins, 0xFFFFFFFF, np.uint32)
-    cell = (h >> np.uint32(16)) * np.uint32(bins) >> np.uint32(16)
-    np.minimum.at(sig, owner * bins + cell, h)
+    at = np.repeat(np.arange(0, len(sig), bins, dtype=np.int64), count)
+    at += (h >> np.uint32(16)) * np.uint32(bins) >> np.uint32(16)
+    np.minimum.at(sig, at, h)
     sig = sig.reshape(len(lines), bins)
-    # an empty bin takes the value of a full one, chosen by a hash of bin and attempt that is the same for all lines
-    hole = np.argwhere(sig == 0xFFFFFFFF)
+    # an empty bin takes the value of a full one, drawn by a hash of bin and attempt that is the same for all lines
     full = sig != 0xFFFFFFFF
-    attempt = 0
-    while len(hole):
-        attempt += 1
-        other = (mix64(hole[:, 1].astype(U64) + U64(attempt << 20)) % U64(bins)).astype(np.int64)
-        ok = full[hole[:, 0], other]
-        sig[hole[ok, 0], hole[ok, 1]] = sig[hole[ok, 0], other[ok]] + np.uint32(attempt)
-        hole = hole[~ok]
+    row, cell = np.nonzero(~full)
+    for attempt in range(1, ATTEMPTS + 1):
+        other = (mix64(np.arange(bins, dtype=U64) + U64(attempt << 20)) % U64(bins)).astype(np.int64)[cell]
+        ok = full[row, other]
+        r, x = row[ok], cell[ok]
+        sig[r, x] = sig[r, other[ok]] + np.uint32(attempt)
+        row, cell = row[~ok], cell[~ok]
+    # lines with few shingles have bins left: those take the next full one, around the end
+    if len(row):
+        few, at = np.unique(row, return_inverse=True)
+        twice = np.concatenate([full[few], full[few]], 1)
+        place = np.where(twice, np.arange(2 * bins), 2 * bins)
+        following = np.minimum.accumulate(place[:, ::-1], 1)[:, ::-1][at, cell]
+        sig[row, cell] = sig[row, following % bins] + (following - cell).astype(np.uint32) * np.uint32(0x9E3779B1)
     return sig
 
 
@@ -99,24 +125,32 @@ def shingle_set(line: str, width: int) -> set[str]:
 
 def line_shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the shingles of a list of lines, repeated ones too, and the first one of each."""
-    sizes = np.array([max(len(x), width) for x in lines])
-    c = np.frombuffer("".join(x.ljust(width, "\0") for x in lines).encode("utf-32-le"), np.uint32).astype(U64)
+    c, count = _characters(lines, width)
+    c = c.astype(U64)
     h = c.copy()
     with np.errstate(over="ignore"):
         for k in range(1, width):
             h = h[:-1] * U64(0xC2B2AE3D27D4EB4F) + c[k:]
-    off = np.append(0, np.cumsum(sizes - width + 1))
-    at = np.arange(off[-1]) + np.repeat(np.arange(len(lines)) * (width - 1), np.diff(off))
+    off = np.append(0, np.cumsum(count))
+    at = np.arange(off[-1]) + np.repeat(np.arange(len(lines)) * (width - 1), count)
     return mix64(h[at]), off
 
 
 def similar_lines(left: list[str], right: list[str], width: int, least: float) -> list[bool]:
-    out, last, kept = [], None, set()
+    known: dict[str, set] = {}  # centres recur
+
+    def shingles(line: str) -> set:
+        if line not in known:
+            if len(known) >= 256:
+                known.clear()
+            known[line] = shingle_set(line, width)
+        return known[line]
+
+    out = []
     for a, b in zip(left, right, strict=True):
-        if a != last:
-            last, kept = a, shingle_set(a, width)
-        most = max(1, len(b) - width + 1)  # shingles b can have
-        out.append(most >= least * len(kept) and jaccard(kept, shingle_set(b, width)) >= least)
+        n, m = (max(1, len(x) - width + 1) for x in (a, b))  # shingles that each has at most
+        x = shingles(a)
+        out.append(m >= least * len(x) and n >= least * len(y := shingles(b)) and jaccard(x, y) >= least)
     return out
 
 

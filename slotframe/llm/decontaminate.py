@@ -20,9 +20,13 @@ in order, or ``loose`` of them and ``answer`` of the answer's.
 Items of more than 64 words are cut into even pieces, each a query of its own.  What is
 gathered from the corpus are sums of fixed size (vocabulary by RANK + OVER columns).
 
-Defined cases: null or empty texts and items match nothing; items of fewer than ``MIN_ITEM``
-words are not searched for; repeated items are one hit each; repeated rows each have their
-hits; an empty benchmark or corpus gives no hits.
+Items of fewer than ``MIN_ITEM`` words say too little for a share of them to be a sign; they are
+searched for by their whole word sequence.
+
+Defined cases: null or empty texts and items match nothing; an item with a null id is searched for
+like others; equal items of one id are one, of several ids one hit each; of equal hits in a document
+the first place counts; repeated rows each have their hits; texts of any length are searched
+as a whole; an empty benchmark or corpus gives no hits; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Texts, Words
+from .common import U64, WORD_POWERS, Texts, Words, prefix_hash, seq_hash
 from .windows import estimated_bytes, ranges
 
 RANK, OVER = 64, 8
@@ -197,29 +201,50 @@ def latent_space(texts: DataFrame, words: Vocabulary, weight: np.ndarray, seed:
     return u[:, keep], np.sqrt(s[keep] ** 2 - shift)
 
 
+def _sequences(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every run of n words."""
+    return seq_hash(*prefix_hash(h, WORD_POWERS), n)
+
+
 @dataclass
 class Queries:
-    """Pieces of items: hashes of their words, the item each is of, its window length."""
+    """Pieces of items: hashes of their words, the item each is of, its window length; short items by their number of words."""
 
     items: list
     words: list[np.ndarray]
     owner: np.ndarray
     length: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # words: sorted hashes of the sequences, the item of each
 
     @classmethod
     def of(cls, items: list, texts: list) -> Queries:
         w = _words(Texts.of(pa.array([x or "" for x in texts], pa.large_string())))
-        pieces, owner = [], []
+        pieces, owner, short = [], [], {}
         for i in range(len(items)):
             h = w.hash[w.off[i] : w.off[i + 1]]
             if len(h) >= MIN_ITEM:
                 for piece in np.array_split(h, -(-len(h) // 64)):
                     pieces.append(piece)
                     owner.append(i)
+            elif len(h):
+                short.setdefault(len(h), []).append((int(_sequences(h, len(h))[0]), i))
         n = np.array([len(p) for p in pieces], np.int64)
         classes = np.array([6, 8, 11, 16, 22, 32, 45, 64])
         near = np.abs(np.log(np.maximum(n, 1)[:, None] / classes)).argmin(1) if len(n) else n
-        return cls(items, pieces, np.array(owner, np.int64), classes[near] if len(n) else n)
+        short = {k: (np.array([h for h, _ in sorted(x)], U64), np.array([i for _, i in sorted(x)], np.int64)) for k, x in short.items()}
+        return cls(items, pieces, np.array(owner, np.int64), classes[near] if len(n) else n, short)
+
+    def whole(self, w: Words) -> dict[tuple[int, int], tuple]:
+        """(text, item) of the short items whose word sequence a text holds, and the hit at the first place."""
+        out: dict[tuple[int, int], tuple] = {}
+        owner = w.owner()
+        for n, (h, item) in self.short.items():
+            g = _sequences(w.hash, n)
+            a, z = np.searchsorted(h, g, "left"), np.searchsorted(h, g, "right")
+            for at in np.flatnonzero(w.inside(n, owner) & (z > a)).tolist():
+                for i in item[a[at] : z[at]].tolist():
+                    out.setdefault((int(owner[at]), i), (1.0, 1.0, 1.0, int(at - w.off[owner[at]])))
+        return out
 
     def masks(self, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         """Sorted numbers piece * len(words) + word and, for each, the bits of the word's places in the piece."""
@@ -274,6 +299,8 @@ class LeakModel:
 
     def prepare(self):
         q = self.queries
+        if not q.words:
+            return None
         vectors = np.stack([self.embed[np.searchsorted(self.words.hash, w)].sum(0) for w in q.words])
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         n = np.array([len(w) for w in q.words])
@@ -289,12 +316,18 @@ class LeakModel:
 
     def find(self, t: Texts, ready) -> list[tuple[int, int, int, float, float, float]]:
         """(text, item, first word, cosine, share, answer share) of the leaks of one slice."""
-        vectors, n, full, tail, last, table, weighty, light, member = ready
         w = _words(t)
+        out = self.queries.whole(w)
+        if ready is not None:
+            self._near(w, t, ready, out)
+        return [(k[0], k[1], h[3], h[2], h[0], h[1]) for k, h in sorted(out.items())]
+
+    def _near(self, w: Words, t: Texts, ready, out: dict[tuple[int, int], tuple]) -> None:
+        vectors, n, full, tail, last, table, weighty, light, member = ready
         at, v = self.words.find(w.hash)
         heavy = weighty[v]
         if not heavy.any():
-            return []
+            return
         known = np.zeros(len(w) + 1, np.int64)  # known words before each word
         known[at + 1] = 1
         np.cumsum(known, out=known)
@@ -305,7 +338,6 @@ class LeakModel:
         v_heavy = v[heavy]
         np.cumsum(self.embed[v_heavy], axis=0, out=sums[1:])
         size = np.diff(w.off)
-        out: dict[tuple[int, int], tuple] = {}
         for length in np.unique(self.queries.length):
             mine = np.flatnonzero(self.queries.length == length)
             stride = max(1, int(length) // 4)
@@ -344,8 +376,8 @@ class LeakModel:
             for i in np.flatnonzero((share >= self.strict) | (tails >= self.answer)):
                 key = int(text[row[i]]), int(self.queries.owner[piece[i]])
                 hit = (float(share[i]), float(tails[i]), float(near[i]), int(start[row[i]] - w.off[key[0]]))
-                out[key] = max(out.get(key, hit), hit)
-        return [(k[0], k[1], h[3], h[2], h[0], h[1]) for k, h in sorted(out.items())]
+                best = out.get(key, hit)
+                out[key] = hit if (hit[:3], -hit[3]) > (best[:3], -best[3]) else best
 
 
 HITS = "array<struct<item_id:bigint,first_word:bigint,cosine:double,lcs_share:double,answer_share:double>>"
@@ -372,14 +404,17 @@ def hits_column(text: Column, model: LeakModel) -> Column:
 def leak_models(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text="text", **limits) -> Iterator[LeakModel]:
     """One model a block of items, each fitted on the whole corpus."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).filter("i is not null and t is not null").distinct()
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null").distinct()
     blocks = max(1, -(-2 * items.count() // BLOCK))
     for b in range(blocks):  # a block holds about half of BLOCK items, by a hash of their ids
-        rows = sorted(items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect())
+        rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
+        rows.sort(key=lambda r: (r["i"] is not None, r["i"] or 0, r["t"]))
         for a in range(0, len(rows), BLOCK):
             part = rows[a : a + BLOCK]
             queries = Queries.of([r["i"] for r in part], [r["t"] for r in part])
-            if queries.words:
+            if not queries.words:
+                yield LeakModel(queries, Vocabulary(np.empty(0, U64)), np.empty((0, 1), np.float32), **limits)
+            else:
                 words = Vocabulary(np.concatenate(queries.words))
                 weight = term_weights(document_frequencies(texts, words), words, queries.words)
                 u, s = latent_space(texts, words, weight)

@@ -32,7 +32,7 @@ as a whole; an empty benchmark or corpus gives no hits; other columns may have a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -214,7 +214,7 @@ class Queries:
     words: list[np.ndarray]
     owner: np.ndarray
     length: np.ndarray
-    short: dict[int, tuple[np.ndarray, np.ndarray]]  # words: sorted hashes of the sequences, the item of each
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # words: sorted hashes of the sequences, the item of each
 
     @classmethod
     def of(cls, items: list, texts: list) -> Queries:

@@ -11,15 +11,16 @@ edges name digests.
 * ``star_pairs`` pairs each id with the centre of each of its keys: the id that meets the
   most others over all its keys, which a text that others are copies of does.
 * ``classes`` verifies the pairs and joins them.  The members of a key that are still in several
-  classes go on: of their shingles, in one order by how common they are, each takes so many of
-  the rarest that two similar texts share one (``rarest``).  Each such shingle is a key whose members
-  are compared with changing centres until all left are in one class, so every two members of a
-  key end in one class or are told apart, by their shingles or by a comparison.
-* ``components`` runs large-star and small-star rounds, a union-find by minima.
+  classes go on: of their units (words or shingles), in one order by how common they are, each takes so many of
+  the rarest that two similar texts share one (``rarest``).  Members of such a key that are in different
+  classes are compared by profiles, an exact bound (``close_pairs``), and what is left by their texts.  So every
+  two members of a key end in one class or are told apart.
+* ``components`` is a union-find by levels: tasks join the edges they read, the roots they found are joined on the next level.
 
 Counts and centres are aggregates with partial sums, and joins split skewed keys: nothing is
-gathered per key or node.  Every step up to the rarest shingles is linear in the rows that share a
-key; the comparisons after it grow with the texts that share a rare shingle in different classes.
+gathered per key or node.  Every step up to the rarest units is linear in the rows that share a
+key; profile comparisons grow with the square of the texts of different classes that share a rare unit, a
+block of them at a time; only pairs that they can't tell apart are given on.
 """
 
 from __future__ import annotations
@@ -28,17 +29,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, materialize, release
-from .windows import _split
+from .windows import _cuts, _split
 
 KEYS = "bucket bigint, key binary, id binary, many binary"
 #: Counters of shingles; a shared one only makes the order of the shingles less good.
 COUNTERS = 1 << 18
-#: Centres of a key in the first further round; four times as many in each one after it.
-CENTRES = 16
+#: Pairs that a member of a key may have in the first further round; sixteen times as many in each one after it.
+CENTRES = 64
+#: Bins of a profile, and members of a key that are compared at a time.
+BINS, BLOCK = 256, 1024
 
 
 def digest_columns(text) -> dict:
@@ -106,13 +109,12 @@ def star_pairs(rows: DataFrame, centre: DataFrame) -> DataFrame:
     return rows.join(centre, "key").select("a", F.col("id").alias("b")).filter("a != b").distinct()
 
 
-def classes(keys: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: Callable[[list, list], list], shingles: Callable[[list], tuple], least: float) -> DataFrame:
+def classes(keys: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: Callable[[list, list], list], units: Callable[[list], tuple], least: float, need: Callable) -> DataFrame:
     """(node, label) of the digests that are linked with others; ``keys`` are blobs of :func:`pack_keys`.
 
-    ``texts(ids)`` gives (id, digest, text) of the ids asked for, each text once;
-    ``similar`` judges two lists of texts pairwise; ``shingles`` gives the hashes of the shingles of
-    a list of texts and the first one of each.  Similar texts have a Jaccard similarity of the sets
-    of their shingles of ``least`` or more.
+    ``texts(ids)`` gives (id, digest, text) of the ids asked for, each text once; ``similar`` judges two
+    lists of texts pairwise; ``units`` gives the hashes of the units of a list of texts and the first one of
+    each.  Similar texts of n and m distinct units share ``need(n, m)`` or more, which is ``least`` of the larger number at least.
     """
     rows = materialize(shared_keys(keys), "shared-keys")
     centre = materialize(centres(rows), "centres")
@@ -134,54 +136,52 @@ def classes(keys: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: C
 
     pairs = materialize(star_pairs(rows, centre), "pairs")
     checked = check(pairs.join(side("x", "a"), "a").join(side("y", "b"), "b").filter("x != y"))
-    labels = materialize(components(checked.filter("ok").select("x", "y")), "labels")
-    tried = _ordered(checked)
+    labels = components(checked.filter("ok").select("x", "y"))
+    tried = [checked]
 
     # texts of keys whose members, without the centre that all were compared with, are in several classes
     place = _label(known.select("id", F.col("digest").alias("x")), labels)
     members = rows.join(centre, "key").filter("id != a").join(place, "id")
     several = members.groupBy("key").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo != hi")
     apart = materialize(members.join(several, "key", "left_semi").select("x").distinct(), "apart")
-    if apart.isEmpty():
-        return labels
-    todo = rarest(known.join(apart.withColumnRenamed("x", "digest"), "digest", "left_semi"), shingles, least)
-    many = CENTRES
-    while True:
-        placed = _label(todo, labels)
-        top = placed.groupBy("key", "l").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "l")).alias("m"))
-        top = top.filter("m.c < n").select("key", F.col("m.l").alias("most"), (F.col("n") - F.col("m.c")).alias("rest"))
-        # centres are drawn from all classes but the largest; where none is left, the rest is one class
-        drawn = F.pmod(F.xxhash64("key", "x", F.lit(many)), F.lit(1 << 30)) * F.col("rest") < F.lit(many << 30)
-        stored = materialize(placed.join(top, "key").select("key", "x", "n", "l", ((F.col("l") != F.col("most")) & drawn).alias("centre")), "open-keys")
-        release(todo)
-        todo = stored
-        if todo.isEmpty():
-            return labels
-        left = todo.filter("centre").select("key", "x", F.col("l").alias("lx"), F.col("n").alias("nx"))
-        right = todo.select("key", F.col("x").alias("y"), F.col("l").alias("ly"), F.col("n").alias("ny"))
-        met = left.join(right, "key").filter((F.col("lx") != F.col("ly")) & (F.least("nx", "ny") >= F.lit(least - 1e-9) * F.greatest("nx", "ny")))
-        release(pairs)
-        pairs = materialize(_ordered(met).distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
-        checked = check(pairs.join(side("x", "x"), "x").join(side("y", "y"), "y"))
-        tried = tried.unionByName(_ordered(checked))
-        good = checked.filter("ok")
-        if not good.isEmpty():
-            labels = _merged(labels, _with_labels(good, labels))
-        todo = materialize(stored.filter("not centre").select("key", "x", "n"), "rarest")
-        release(stored)
-        many *= 4
-
-
-def rarest(known: DataFrame, shingles: Callable[[list], tuple], least: float) -> DataFrame:
-    """(key, x, n): the rarest of the n different shingles of each text x, so many that texts of a Jaccard similarity of ``least`` or more share one.
-
-    Of n shingles a similar text has ``least * n`` or more, so not all of the first
+    release(pairs)
+    if not apart.isEmpty():
+        rare = rarest(known.join(apart.withColumnRenamed("x", "digest"), "digest", "left_semi"), units, least)
+        centres_each, open_keys, turn = CENTRES, None, 0
+        while True:
+            turn += 1
+            found = close_pairs(_label(rare, labels), open_keys, least, need, centres_each, turn)
+            pairs = _ordered(found.filter("key is null")).distinct()
+            for t in tried:
+                pairs = pairs.join(_ordered(t), ["x", "y"], "left_anti")
+            checked = check(materialize(pairs, "pairs").join(side("x", "x"), "x").join(side("y", "y"), "y"))
+            tried.append(checked)
+            good = checked.filter("ok")
+            if not good.isEmpty():
+                labels = _merged(labels, _with_labels(good, labels))
+            open_keys = found.filter("key is not null").select("key").distinct()
+            if open_keys.isEmpty():
+                break
+            centres_each *= 16
+        release(rare)
+    release(rows, centre, known, apart, *tried)
+    return labels
+
+
+RARE = "x binary, n int, over int, bins binary, keys array<bigint>"
+
+
+def rarest(known: DataFrame, units: Callable[[list], tuple], least: float) -> DataFrame:
+    """A row a text x: the rarest of its n different units as keys, so many that similar texts share one, and a profile of all its units.
+
+    Of n units a similar text has ``least * n`` or more, so not all of the first
     n - ceil(least * n) + 1 can be missing; that holds for any order that is the same for all texts.
+    The profile counts units in ``BINS`` bins, up to 255 each; ``over`` is what goes beyond that.
     """
 
     def hashes(texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for s in range(0, len(texts), 256):
-            h, off = shingles(texts[s : s + 256])
+            h, off = units(texts[s : s + 256])
             owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
             order = np.lexsort((h, owner))
             h, owner = h[order], owner[order]
@@ -205,17 +205,101 @@ def rarest(known: DataFrame, shingles: Callable[[list], tuple], least: float) ->
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests = batch.column(0)
-            for s, h, owner in hashes(batch.column(1).to_pylist()):
+            digests, texts = batch.column(0), batch.column(1).to_pylist()
+            for s, h, owner in hashes(texts):
+                size = min(256, len(texts) - s)
+                n = np.bincount(owner, minlength=size)
+                cell = owner * BINS + (h >> U64(40)).astype(np.int64) % BINS
+                profile = np.bincount(cell, minlength=size * BINS).reshape(size, BINS)
                 order = np.lexsort((h, common[(h % U64(COUNTERS)).astype(np.int64)], owner))
                 h, owner = h[order], owner[order]
-                n = np.bincount(owner)
                 rank = np.arange(len(h)) - (np.cumsum(n) - n)[owner]
                 taken = rank <= n[owner] - np.ceil(least * n[owner] - 1e-9)
-                h, owner = h[taken], owner[taken]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), digests.take(pa.array(owner + s)), pa.array(n[owner].astype(np.int32))], names=["key", "x", "n"])
+                key = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner[taken], minlength=size))), pa.int32()), pa.array(h[taken].view(np.int64)))
+                bins = np.minimum(profile, 255)
+                over = (profile - bins).sum(1)
+                bins = [x.tobytes() for x in bins.astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([digests.slice(s, size), pa.array(n.astype(np.int32)), pa.array(over.astype(np.int32)), pa.array(bins, pa.binary()), key], names=["x", "n", "over", "bins", "keys"])
+
+    return materialize(known.select("digest", "text").mapInArrow(pick, RARE), "rarest")
+
+
+FOUND = "x binary, y binary, key bigint"
+
 
-    return materialize(known.select("digest", "text").mapInArrow(pick, "key bigint, x binary, n int"), "rarest")
+def close_pairs(placed: DataFrame, open_keys: DataFrame | None, least: float, need: Callable, centres_each: int, turn: int) -> DataFrame:
+    """Pairs (x, y) of different classes that share a key and whose profiles leave room for a similarity; a key alone is not done yet.
+
+    A pair is given under the least key that both have. A key's members are compared in blocks of ``BLOCK``, a task a pair of blocks, by what their profiles can have in
+    common at most: an exact bound, so no similar pair is missing.  Where that leaves more pairs than
+    ``centres_each`` for each member, only those of so many members are given, drawn anew each turn; once they have joined classes, the key comes again.
+    """
+    rows = placed.select("x", "l", F.explode("keys").alias("key"))
+    if open_keys is not None:
+        rows = rows.join(open_keys, "key", "left_semi")
+    mixed = rows.groupBy("key").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo != hi").select("key", "c")
+    rows = rows.join(mixed, "key").withColumn("_blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    rows = rows.withColumn("_mine", F.when(F.col("_blocks") > 1, F.pmod(F.xxhash64("x", "key"), F.col("_blocks")).cast("int")).otherwise(0))
+    # a block meets itself and each other one: with block m the pairs (i, m) and (m, j) for all others
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.withColumns({"_i": F.least("_mine", "_other"), "_j": F.greatest("_mine", "_other")})
+    groups = 4 * int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("key", "_i", "_j", "_mine", "x", "l").join(placed.select("x", "n", "over", "bins", "keys"), "x")
+    rows = rows.withColumn("_g", F.pmod(F.xxhash64("key", "_i", "_j"), F.lit(groups)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        key, i, j, mine, n, over = (table.column(c).to_numpy() for c in ("key", "_i", "_j", "_mine", "n", "over"))
+        x = table.column("x").combine_chunks()
+        label = table.column("l").combine_chunks().dictionary_encode().indices.to_numpy()
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(len(key), BINS)
+        lists, sets = table.column("keys").combine_chunks(), {}
+
+        def here(at: int, other: int, key: int) -> bool:
+            """Whether no lesser key than this one holds both: a pair is given under the least."""
+            for v in (at, other):
+                if v not in sets:
+                    sets[v] = set(lists[v].as_py())
+            return min(sets[at] & sets[other]) == key
+
+        drawn = np.array([hash((turn, v)) for v in x.to_pylist()]) if len(key) > centres_each else key
+        order = np.lexsort((mine, j, i, key))
+        k, a, b = key[order], i[order], j[order]
+        left, right, unfinished = [], [], []
+        for s, z in _cuts((k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]), len(k)):
+            at = order[s:z]
+            whole = a[s] == b[s]
+            first, other = [], []
+            for p in range(z - s - 1):
+                me = at[p]
+                rest = at[p + 1 :]
+                if not whole:
+                    if mine[me] != a[s]:
+                        break
+                    rest = rest[mine[rest] == b[s]]
+                low, high = np.minimum(n[me], n[rest]), np.maximum(n[me], n[rest])
+                rest = rest[(label[rest] != label[me]) & (low >= least * high - 1e-9)]
+                if len(rest):
+                    room = np.minimum(bins[me], bins[rest]).sum(1, dtype=np.int64) + np.minimum(over[me], over[rest])
+                    rest = rest[room >= need(n[me], n[rest])]
+                    rest = rest[[here(me, v, k[s]) for v in rest.tolist()]] if len(rest) else rest
+                    first.append(np.full(len(rest), me))
+                    other.append(rest)
+            if not first:
+                continue
+            f, o = np.concatenate(first), np.concatenate(other)
+            if len(f) > centres_each * (z - s):
+                unfinished.append(int(k[s]))
+                ones = at[np.argsort(drawn[at], kind="stable")[:centres_each]]
+                go = np.isin(f, ones) | np.isin(o, ones)
+                f, o = f[go], o[go]
+            left.append(f)
+            right.append(o)
+        f, o = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (left, right))
+        pair = pa.table([x.take(pa.array(f)), x.take(pa.array(o)), pa.nulls(len(f), pa.int64())], names=["x", "y", "key"])
+        m = len(unfinished)
+        return pa.concat_tables([pair, pa.table([pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(unfinished, pa.int64())], names=["x", "y", "key"])])
+
+    return materialize(rows.groupBy("_g").applyInArrow(compare, FOUND), "close-pairs")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -237,7 +321,7 @@ def _with_labels(links: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after further links between classes: components of the classes alone, then each node's class looked up."""
-    joined = materialize(components(links.select(F.col("lx").alias("x"), F.col("ly").alias("y"))), "classes")
+    joined = components(links.select(F.col("lx").alias("x"), F.col("ly").alias("y")))
     by_label = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
     moved = labels.join(by_label, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     fresh = joined.join(labels.select("node"), "node", "left_anti")
@@ -246,22 +330,68 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
+#: Edges that a task joins in memory at a time.
+RUN_EDGES = 1 << 17
+
+
+def _local_roots(x: list, y: list) -> tuple[list, list]:
+    """Each node of the edges and the least node that it is joined with by them."""
+    parent: dict = {}
+
+    def find(n):
+        top = n
+        while parent[top] != top:
+            top = parent[top]
+        while parent[n] != top:
+            parent[n], n = top, parent[n]
+        return top
+
+    for a, b in zip(x, y, strict=True):
+        a, b = find(parent.setdefault(a, a)), find(parent.setdefault(b, b))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return list(parent), [find(n) for n in parent]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    x, y = [], []
+
+    def joined() -> pa.RecordBatch:
+        nodes, roots = _local_roots(x, y)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(roots, pa.binary())], names=["node", "root"])
+
+    for batch in batches:
+        x += batch.column(0).to_pylist()
+        y += batch.column(1).to_pylist()
+        if len(x) >= RUN_EDGES:
+            yield joined()
+            x, y = [], []
+    if x:
+        yield joined()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of the edges (x, y); label is the least node of its component."""
-    now = materialize(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u != v").distinct(), "edges")
-    mark = None
+    """(node, label) for every node of the edges (x, y); label is the least node of its component.
+
+    Union-find by levels: a task joins the edges it reads, ``RUN_EDGES`` at a time, and gives each node its root
+    there.  A node with several roots joins them: the edges of the next level lie between roots alone, and the
+    greatest node of a neighbourhood is never a root, so levels shrink fast.  Labels are then looked up from the last level back.
+    """
+    levels: list[DataFrame] = []
+    now = edges.select("x", "y").filter("x != y")
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u != v").distinct()
-        after = materialize(small, "edges")
-        seen = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        release(now)
-        now = after
-        if seen == mark:
+        # a task has few roots for a node, so a node meets as many roots as there are tasks, at most
+        roots = now.mapInArrow(_contract, "node binary, root binary")
+        least = F.min("root").over(Window.partitionBy("node"))
+        levels.append(materialize(roots.select("node", "root", least.alias("label")), "roots"))
+        now = levels[-1].filter("root != label").select(F.col("root").alias("x"), F.col("label").alias("y"))
+        if now.isEmpty():
             break
-        mark = seen
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    own = lambda level: level.filter("root = label").select("node", "label").distinct()
+    labels = own(levels[-1])
+    for level in reversed(levels[:-1]):
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        labels = own(level).join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    out = materialize(labels, "component-labels")
+    release(*levels)
+    return out

@@ -189,7 +189,7 @@ def near_classes(docs: DataFrame, width: int = 5, least: float = 0.8, count: int
     keys = own.select("id", "text").mapInArrow(sketch, KEYS)
     # a merge join at every size: disk use then grows with the input, not with a change of plan
     texts = lambda ids: own.join(ids.hint("merge"), "id", "left_semi").groupBy("digest").agg(F.first("id").alias("id"), F.first("text").alias("text"))
-    return classes(keys, texts, lambda a, b: similar_texts(a, b, least), labelled_words, least)
+    return classes(keys, texts, lambda a, b: similar_texts(a, b, least), labelled_words, least, lambda n, m: np.ceil(least * np.maximum(n, m) - 1e-9))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:

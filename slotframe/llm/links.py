@@ -39,9 +39,9 @@ KEYS = "bucket bigint, key binary, id binary, many binary"
 #: Counters of shingles; a shared one only makes the order of the shingles less good.
 COUNTERS = 1 << 18
 #: Pairs that a member of a key may have in the first further round; sixteen times as many in each one after it.
-CENTRES = 64
+CENTRES = 16
 #: Bins of a profile, and members of a key that are compared at a time.
-BINS, BLOCK = 256, 1024
+BINS, BLOCK = 512, 1024
 
 
 def digest_columns(text) -> dict:
@@ -238,13 +238,15 @@ def close_pairs(placed: DataFrame, open_keys: DataFrame | None, least: float, ne
     if open_keys is not None:
         rows = rows.join(open_keys, "key", "left_semi")
     mixed = rows.groupBy("key").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo != hi").select("key", "c")
-    rows = rows.join(mixed, "key").withColumn("_blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    # the keys that a text goes on with are few: they come back to it before its profile is sent to each of them
+    live = rows.join(mixed, "key").groupBy("x").agg(F.collect_list(F.struct("key", "c")).alias("live"))
+    rows = placed.join(live, "x").withColumn("live", F.explode("live")).select("x", "l", "n", "over", "bins", "keys", "live.key", "live.c")
+    rows = rows.withColumn("_blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
     rows = rows.withColumn("_mine", F.when(F.col("_blocks") > 1, F.pmod(F.xxhash64("x", "key"), F.col("_blocks")).cast("int")).otherwise(0))
     # a block meets itself and each other one: with block m the pairs (i, m) and (m, j) for all others
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.withColumns({"_i": F.least("_mine", "_other"), "_j": F.greatest("_mine", "_other")})
+    rows = rows.withColumns({"_i": F.least("_mine", "_other"), "_j": F.greatest("_mine", "_other")}).drop("_other", "_blocks", "c")
     groups = 4 * int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("key", "_i", "_j", "_mine", "x", "l").join(placed.select("x", "n", "over", "bins", "keys"), "x")
     rows = rows.withColumn("_g", F.pmod(F.xxhash64("key", "_i", "_j"), F.lit(groups)))
 
     def compare(table: pa.Table) -> pa.Table:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 EPOCH_SLOTS = 432_000
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "kib": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "mib": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "gib": 1 << 30, "t": 1 << 40, "tb": 1 << 40, "tib": 1 << 40}
 
@@ -80,3 +83,42 @@ def check_replay_range(start: int, end: int, size: int = EPOCH_SLOTS) -> None:
     """A replay needs a slot before its first one, and ends in the same epoch."""
     if start <= 0 or end < start or start // size != end // size:
         raise ValueError(f"bad replay range {start}:{end}")
+
+
+def valid_replay_range(start: Column, end: Column, size: int = EPOCH_SLOTS) -> Column:
+    """The same rule for columns."""
+    epoch = lambda c: F.floor(c / F.lit(size))
+    return (start > 0) & (end >= start) & (epoch(start) == epoch(end))
+
+
+def _bytes(values: Column) -> Column:
+    """An array of numbers 0 to 255 as binary."""
+    return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+
+
+def _width(value: Column, bits: int) -> Column:
+    """How many groups of ``bits`` a number that isn't negative takes, one at least."""
+    return F.greatest(F.lit(1), F.ceil(F.length(F.regexp_replace(F.bin(value), "^0+", "")) / bits)).cast("int")
+
+
+def base128(value: Column) -> Column:
+    """Seven bits a byte, the least first, the top bit on all but the last."""
+    last = _width(value, 7) - 1
+    group = lambda i: F.call_function("shiftright", value, 7 * i).bitwiseAND(F.lit(127))
+    return _bytes(F.transform(F.sequence(F.lit(0), last), lambda i: group(i) + F.when(i < last, 128).otherwise(0)))
+
+
+def counted(value: Column) -> Column:
+    """One byte below 128, else the top bit and a count, and that many bytes, the least first."""
+    n = _width(value, 8)
+    body = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("shiftright", value, 8 * i).bitwiseAND(F.lit(255)))
+    return F.when(value < 128, _bytes(F.array(value))).otherwise(_bytes(F.concat(F.array((n + 128).cast("bigint")), body)))
+
+
+def from_counted(data: Column) -> Column:
+    """The number that :func:`counted` wrote; more than eight bytes are an error."""
+    byte = lambda i: F.conv(F.hex(F.substring(data, i, 1)), 16, 10).cast("bigint")
+    first = byte(F.lit(1))
+    n = (first - 128).cast("int")
+    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("bigint"), lambda a, i: a + F.call_function("shiftleft", byte(i + 2), 8 * i))
+    return F.when(first < 128, first).when(n <= 8, total).otherwise(F.raise_error(F.lit("a number of more than eight bytes")))

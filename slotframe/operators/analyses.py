@@ -78,10 +78,14 @@ def pubkeys(spark, d):
   count(DISTINCT pubkey) AS distinct_accounts, CAST(coalesce(sum(data_len), 0) AS BIGINT) AS data_bytes FROM blocks LEFT JOIN upd USING (slot) GROUP BY slot""",
 )
 def account_write_stats(spark, d):
+    return write_stats(fx.updates(spark, d), fx.blocks(spark, d))
+
+
+def write_stats(updates: DataFrame, blocks: DataFrame) -> DataFrame:
     """Every block has a row, without writes too; writes to skipped slots have none."""
-    sums = fx.updates(spark, d).groupBy("slot").agg(F.count(F.lit(1)).alias("w"), F.countDistinct("pubkey").alias("a"), F.sum("data_len").alias("b"))
+    sums = updates.groupBy("slot").agg(F.count(F.lit(1)).alias("w"), F.countDistinct("pubkey").alias("a"), F.sum("data_len").alias("b"))
     zero = lambda c, n: F.coalesce(c, F.lit(0)).cast("bigint").alias(n)
-    return fx.blocks(spark, d).join(sums, "slot", "left").select("slot", clamp_time("block_time").alias("timestamp"), zero("w", "writes"), zero("a", "distinct_accounts"), zero("b", "data_bytes"))
+    return blocks.join(sums, "slot", "left").select("slot", clamp_time("block_time").alias("timestamp"), zero("w", "writes"), zero("a", "distinct_accounts"), zero("b", "data_bytes"))
 
 
 A7_SQL = f"""WITH {fx.TX_SQL}, {fx.BLOCKS_SQL} SELECT slot, count(*) AS transaction_count, count(*) FILTER (is_vote) AS vote_transaction_count,

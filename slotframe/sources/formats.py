@@ -1,20 +1,22 @@
 """Readers of binary and JSON formats, and the Parquet archive.
 
-The node stream (S5) is a Python data source, ``spark.read.format("nodes")``: one partition a file.
+Archive streams (S1, S5, S8) are read by ``nodes``, state archives (S14) by ``states``.
 """
 
 from __future__ import annotations
 
+import json
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
-from ..functions.codecs import crc64_iso, payload_ok, uvarint, write_uvarint
+from ..functions.codecs import crc64_iso, payload_ok, write_uvarint
 from ..functions.units import EPOCH_SLOTS
 from ..plans import fixtures as fx
 from ..plans.register import query
@@ -99,59 +101,19 @@ def write_node(cid: bytes, node: list) -> bytes:
     return write_uvarint(len(body)) + body
 
 
-def read_nodes(data: bytes, cid_size: int = 36) -> Iterator[tuple[int, bytes, int, list]]:
-    """(offset, content id, kind, fields) of each node."""
-    at = 0
-    while at < len(data):
-        size, body = uvarint(data, at)
-        if body + size > len(data) or size < cid_size:
-            raise ValueError(f"node at {at} is cut short")
-        node, end = cbor_decode(data, body + cid_size)
-        if end != body + size or not isinstance(node, list) or not 0 <= node[0] < len(KINDS):
-            raise ValueError(f"bad node at {at}")
-        yield at, data[body : body + cid_size], node[0], node
-        at = body + size
+def group_until_block(nodes: DataFrame, block_kind: int = 2, run: int = 1 << 26) -> DataFrame:
+    """Adds ``group``: nodes up to and with a block share one; ``closed`` is false for a tail without a block.
 
-
-class NodeSource(DataSource):
-    """Nodes of stream files: option ``path`` is one file or several, split by commas."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "nodes"
-
-    def schema(self) -> str:
-        return "file string, offset bigint, cid binary, kind int, body binary"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _NodeReader(self.options.get("path", ""))
-
-
-class _NodeReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.files = [p for p in path.split(",") if p]
-
-    def partitions(self):
-        return [InputPartition(p) for p in self.files]
-
-    def read(self, partition):
-        import pyarrow.fs as pafs
-
-        path = partition.value
-        fs, at = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-        with fs.open_input_file(at) as f:
-            data = f.read()
-        for offset, cid, kind, node in read_nodes(data):
-            yield path, offset, cid, kind, cbor_encode(node)
-
-
-def group_until_block(nodes: DataFrame, block_kind: int = 2) -> DataFrame:
-    """Adds ``group``: nodes up to and with a block share one; ``closed`` is false for a tail without a block."""
-    w = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    group = F.coalesce(F.count_if(F.col("kind") == block_kind).over(w), F.lit(0))
-    n = nodes.withColumn("group", group)
-    ends = n.groupBy("file", "group").agg(F.bool_or(F.col("kind") == block_kind).alias("closed"))
-    return n.join(ends, ["file", "group"])
+    Counted in runs of ``run`` bytes of a file, with one row a run carried on, so no task windows over a file.
+    """
+    n = nodes.withColumn("_run", F.expr(f"offset div {run}"))
+    is_block = F.col("kind") == block_kind
+    runs = n.groupBy("file", "_run").agg(F.count_if(is_block).alias("_blocks"))
+    runs = runs.withColumn("_past", F.coalesce(F.sum("_blocks").over(Window.partitionBy("file").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_blocks")
+    inner = F.coalesce(F.count_if(is_block).over(Window.partitionBy("file", "_run").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = n.groupBy("file").agg(F.count_if(is_block).alias("_total"))
+    n = n.withColumn("_inner", inner).join(runs, ["file", "_run"]).join(total, "file")
+    return n.withColumns({"group": F.col("_past") + F.col("_inner"), "closed": F.col("_past") + F.col("_inner") < F.col("_total")}).drop("_run", "_past", "_inner", "_total")
 
 
 def reassemble(parts: DataFrame) -> DataFrame:
@@ -182,7 +144,7 @@ def s6(spark, d):
 @query("S7_block_groups", "WITH n AS (SELECT event_id AS pos, event_type = 'purchase' AS block FROM events), g AS (SELECT *, coalesce(sum(CASE WHEN block THEN 1 ELSE 0 END) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM n) SELECT CAST(grp AS BIGINT) AS \"group\", count(*) AS nodes, bool_or(block) AS closed FROM g GROUP BY grp")
 def s7(spark, d):
     nodes = fx.updates(spark, d).select(F.lit("f").alias("file"), F.col("write_version").alias("offset"), F.when(F.col("kind") == "purchase", 2).otherwise(0).alias("kind"))
-    return group_until_block(nodes).groupBy("group").agg(F.count(F.lit(1)).alias("nodes"), F.first("closed").alias("closed"))
+    return group_until_block(nodes, run=1000).groupBy("group").agg(F.count(F.lit(1)).alias("nodes"), F.first("closed").alias("closed"))
 
 
 @query("S9_reward_fields", "SELECT c_custkey AS pubkey, (c_custkey % 6) - 1 AS reward_type, coalesce(TRY_CAST(CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey % 10000 AS VARCHAR) ELSE '' END AS BIGINT), TRY_CAST(CAST(c_custkey % 100 AS VARCHAR) AS BIGINT) * 100) AS commission_bps FROM customer")
@@ -274,22 +236,109 @@ def check_archive_order(df: DataFrame) -> DataFrame:
     return df.groupBy("slot").agg(F.count(F.lit(1)).alias("frames")).filter("frames > 1")
 
 
-def upsert(df: DataFrame, path: str, key: list[str], version: list[str]) -> None:
-    """Merge rows into a Parquet table, the newest version of a key staying; the old table is kept until the new one is whole."""
+# -- tables that are merged into: data folders by bucket, and a manifest that names the current one of each bucket
+
+
+def _files(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    return hadoop, hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
+    """(number, folder of each bucket) of the newest manifest, the schema under ``schema``; (0, {}) where there is none."""
+    hadoop, fs = _files(spark, path)
+    top = hadoop(f"{path}/manifests")
+    if not fs.exists(top):
+        return 0, {}
+    numbers = [int(f.getPath().getName()) for f in fs.listStatus(top) if f.getPath().getName().isdigit()]
+    if not numbers:
+        return 0, {}
+    rows = spark.read.text(f"{path}/manifests/{max(numbers)}").collect()
+    return max(numbers), dict(r["value"].split(" ", 1) for r in rows)
+
+
+def _bucket_of(key: list[str], slots: int, buckets: int):
+    """Rows with a slot fall into runs of slots, others by a hash of their key."""
+    return F.expr(f"slot div {slots}") if "slot" in key else F.pmod(F.xxhash64(*key), F.lit(buckets))
+
+
+def upsert(df: DataFrame, path: str, key: list[str], version: list[str], slots: int = EPOCH_SLOTS // 100, buckets: int = 64) -> None:
+    """Merge rows into a table, the newest version of a key staying; only buckets that get rows are written anew.
+
+    Readers take the folders that the newest manifest names, so they see the table before or after a
+    merge, never between.  A run that ends half way leaves folders that no manifest names.
+    """
     from ..operators.state import merge_latest
 
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    target, fresh, old = (hadoop(path + s) for s in ("", "__next", "__old"))
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(target) and fs.exists(old):
-        fs.rename(old, target)  # a run ended between the two renames
-    rows = df.unionByName(spark.read.schema(df.schema).parquet(path)) if fs.exists(target) else df
-    merge_latest(rows, key, version).write.mode("overwrite").parquet(path + "__next")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(fresh, target)
-    fs.delete(old, True)
+    number, now = _manifest(spark, path)
+    fresh = f"{path}/data/{number + 1:08d}-{uuid.uuid4().hex}"
+    rows = df.withColumn("_bucket", _bucket_of(key, slots, buckets).cast("string"))
+    now.pop("schema", None)
+    if now:
+        touched = {r["_bucket"] for r in rows.select("_bucket").distinct().collect()}  # runs of slots or buckets, not rows
+        old = [f"{path}/{now[b]}" for b in sorted(touched & now.keys())]
+        if old:
+            rows = rows.unionByName(spark.read.schema(df.schema).parquet(*old).withColumn("_bucket", _bucket_of(key, slots, buckets).cast("string")))
+    merge_latest(rows, [*key, "_bucket"], version).write.partitionBy("_bucket").parquet(fresh)
+    hadoop, fs = _files(spark, path)
+    made = [f.getPath().getName() for f in fs.listStatus(hadoop(fresh)) if f.getPath().getName().startswith("_bucket=")]
+    after = now | {m.split("=", 1)[1]: f"{fresh.removeprefix(path + '/')}/{m}" for m in made}
+    text = "\n".join([f"schema {df.schema.json()}", *(f"{b} {folder}" for b, folder in sorted(after.items()))])
+    draft = hadoop(f"{path}/manifests/_{uuid.uuid4().hex}")
+    out = fs.create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(draft, hadoop(f"{path}/manifests/{number + 1}")):
+        raise RuntimeError(f"another merge into {path} came first")
+    for f in fs.listStatus(hadoop(f"{path}/data")):  # folders that neither this manifest nor the one before names
+        name = f"data/{f.getPath().getName()}"
+        if not any(x.startswith(name + "/") for x in (*after.values(), *now.values())):
+            fs.delete(f.getPath(), True)
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that :func:`upsert` writes."""
+    _, now = _manifest(spark, path)
+    if not now:
+        raise FileNotFoundError(path)
+    schema = StructType.fromJson(json.loads(now.pop("schema")))
+    return spark.read.schema(schema).parquet(*[f"{path}/{folder}" for folder in sorted(now.values())]) if now else spark.createDataFrame([], schema)
+
+
+# -- the older index: slot to content id, content id to place, each in hash buckets
+
+INDEX_BUCKETS = 16
+
+
+def write_compact_index(nodes: DataFrame, path: str, buckets: int = INDEX_BUCKETS) -> None:
+    """``nodes`` has slot, cid, offset, length; two tables are written, each dealt into buckets by a hash of its key."""
+    for name, key, columns in (("slots", "slot", ("cid",)), ("places", "cid", ("offset", "length"))):
+        rows = nodes.select(key, *columns).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+        rows.repartition("bucket").sortWithinPartitions(key).write.partitionBy("bucket").parquet(f"{path}/{name}")
+
+
+def read_compact_index(spark: SparkSession, path: str, slots: DataFrame, buckets: int = INDEX_BUCKETS) -> DataFrame:
+    """(slot, cid, offset, length) of the slots asked for that the index holds; lookups go bucket by bucket."""
+    ids, places = spark.read.parquet(f"{path}/slots"), spark.read.parquet(f"{path}/places")
+    asked = slots.select("slot").distinct().withColumn("bucket", F.pmod(F.xxhash64("slot"), F.lit(buckets)).cast("int"))
+    found = asked.join(ids, ["bucket", "slot"]).drop("bucket").withColumn("bucket", F.pmod(F.xxhash64("cid"), F.lit(buckets)).cast("int"))
+    return found.join(places, ["bucket", "cid"]).select("slot", "cid", "offset", "length")
+
+
+# -- raw records: some columns to search by, and the whole record
+
+
+def write_raw_records(df: DataFrame, path: str, searchable: list[str]) -> None:
+    """The searchable columns and ``record``, a struct of all columns, sorted so that searches by slot read few row groups."""
+    rows = df.select(*searchable, F.struct(*df.columns).alias("record"))
+    rows.repartitionByRange("slot").sortWithinPartitions("slot").write.option("compression", "zstd").parquet(path)
+
+
+def read_raw_records(spark: SparkSession, path: str, found=None) -> DataFrame:
+    """Records that a condition on the searchable columns finds; it is pushed to the scan."""
+    df = spark.read.parquet(path)
+    return df if found is None else df.filter(found)
 
 
 def export_accounts(latest: DataFrame, path: str) -> None:
@@ -300,3 +349,12 @@ def export_accounts(latest: DataFrame, path: str) -> None:
 def discard(df: DataFrame) -> None:
     """Runs a plan and drops its rows, for measurements."""
     df.write.format("noop").mode("overwrite").save()
+
+
+def discard_counting(df: DataFrame, **aggregates) -> dict:
+    """Runs a plan, drops its rows and returns aggregates observed on the way."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    discard(df.observe(seen, *[c.alias(name) for name, c in aggregates.items()]))
+    return seen.get

@@ -7,7 +7,6 @@ that is written twice after a restart changes nothing.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,15 +16,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans import fixtures as fx
 from ..plans.register import query
+from ..session import scratch
 
 EVENT = "slot bigint, kind string, n bigint, block_time bigint"
 FINAL = "slot bigint, txs bigint, timestamp bigint"
 
 
-def finalise(events: DataFrame) -> DataFrame:
-    """(slot, txs, timestamp) as soon as a slot's block is in; a transaction after it emits the slot anew."""
+def finalise(events: DataFrame, keep_ms: int = 3_600_000) -> DataFrame:
+    """(slot, txs, timestamp) as soon as a slot's block is in; a transaction after it emits the slot anew.
+
+    The state of a slot goes ``keep_ms`` after its last event once its block is in; slots without a block stay.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         txs, time, seen = state.get if state.exists else (0, 0, False)
         for pdf in frames:
             txs += int(pdf.loc[pdf["kind"] == "tx", "n"].sum())
@@ -34,9 +40,10 @@ def finalise(events: DataFrame) -> DataFrame:
                 seen, time = True, int(block["block_time"].fillna(0).iloc[-1])
         state.update((txs, time, seen))
         if seen:
+            state.setTimeoutDuration(keep_ms)
             yield pd.DataFrame({"slot": [key[0]], "txs": [txs], "timestamp": [min(max(time, 0), (1 << 32) - 1)]})
 
-    return events.groupBy("slot").applyInPandasWithState(step, FINAL, "txs bigint, time bigint, seen boolean", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("slot").applyInPandasWithState(step, FINAL, "txs bigint, time bigint, seen boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def drain(events: DataFrame) -> DataFrame:
@@ -51,6 +58,19 @@ def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
     q.awaitTermination()
 
 
+def keep_distinct(stream: DataFrame, view: str, checkpoint: str) -> None:
+    """Adds what a batch holds and earlier ones don't as ``view/batch=N``; a batch that runs twice writes the same."""
+    spark = stream.sparkSession
+
+    def add(df: DataFrame, batch: int) -> None:
+        fresh = df.distinct()
+        if batch:
+            fresh = fresh.join(spark.read.parquet(view).filter(F.col("batch") < batch).drop("batch"), df.columns, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{view}/batch={batch}")
+
+    run_available(stream, add, checkpoint, "append")
+
+
 def deduplicated(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Repeated slots within the watermark are dropped (T4)."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["slot"])
@@ -70,7 +90,7 @@ def t1(spark, d):
     """The stream run to its end over files, merged to one row a slot."""
     from ..operators.state import merge_latest
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/slotframe-{uuid.uuid4().hex}").rstrip("/") + f"/live-{uuid.uuid4().hex}"
+    base = scratch(spark, "live")
     slot_events(spark, d).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(EVENT).parquet(f"{base}/in")
     run_available(finalise(stream), lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{base}/out"), f"{base}/state")

@@ -6,14 +6,14 @@ import struct
 
 import pytest
 from pyspark.sql import functions as F
-from slotframe.functions import ints
+from slotframe.functions import codecs, ints
 from slotframe.operators import aggregates, state, windows
 from slotframe.operators.analyses import program_invocations
 from slotframe.operators.scalars import pack_status, unpack_status
 from slotframe.operators.txmeta import tx_meta
 from slotframe.plans import fixtures as fx
-from slotframe.plans.engine import Analysis, Engine, fixture_streams
-from slotframe.sources import formats
+from slotframe.plans.engine import Analysis, Engine, file_streams, fixture_streams
+from slotframe.sources import formats, nodes, states
 from slotframe.streaming import live
 
 MESSAGE = (
@@ -132,8 +132,23 @@ def test_merge_is_idempotent(spark, sf, tmp_path):
     path = f"file://{tmp_path}/t"
     for part in (u.filter("write_version % 2 = 0"), u, u.filter("write_version % 3 = 0")):
         formats.upsert(part, path, ["pubkey"], ["write_version"])
-    assert sorted(map(tuple, spark.read.parquet(path).select(*u.columns).collect())) == once
-    assert os.listdir(tmp_path) == ["t"]
+    assert sorted(map(tuple, formats.read_upserted(spark, path).select(*u.columns).collect())) == once
+    assert len(os.listdir(tmp_path / "t" / "data")) <= 2  # what the last two manifests name
+
+
+def test_merge_leaves_other_buckets(spark, tmp_path):
+    """A merge writes only the runs of slots that get rows; a reader has all of them."""
+    path = f"file://{tmp_path}/t"
+    rows = lambda *x: spark.createDataFrame(list(x), "slot bigint, n bigint")
+    formats.upsert(rows((1, 1), (5000, 1)), path, ["slot"], ["n"])
+    _, before = formats._manifest(spark, path)
+    formats.upsert(rows((1, 3), (2, 1)), path, ["slot"], ["n"])
+    _, after = formats._manifest(spark, path)
+    assert before["1"] == after["1"] and before["0"] != after["0"]
+    formats.upsert(rows((1, 2)), path, ["slot"], ["n"])
+    assert sorted(map(tuple, formats.read_upserted(spark, path).collect())) == [(1, 3), (2, 1), (5000, 1)]
+    with pytest.raises(FileNotFoundError):
+        formats.read_upserted(spark, f"file://{tmp_path}/none")
 
 
 def test_state_keeps_absent_and_zero(spark):
@@ -147,17 +162,113 @@ def test_state_keeps_absent_and_zero(spark):
 
 
 def test_nodes(spark, tmp_path):
-    nodes = [[0, b"tx", 1], [1, 2, [b"a", None]], [2, 7, True, {"k": -3}], [6, 1 << 40, b""]]
-    raw = b"".join(formats.write_node(bytes([i]) * 36, n) for i, n in enumerate(nodes))
-    assert [n for *_, n in formats.read_nodes(raw)] == nodes
-    for cut in (len(raw) - 1, 1):
+    """A header is skipped, nodes up to a block are its slot's, a tail has none; a cut file is an error."""
+    made = [[0, b"tx", 1], [1, 2, [b"a", None]], [2, 7, True, {"k": -3}], [6, 1 << 40, b""]]
+    raw = nodes.write_header([b"root"]) + b"".join(formats.write_node(bytes([1, i]) * 18, n) for i, n in enumerate(made))
+    (tmp_path / "a.car").write_bytes(raw)
+    df = nodes.read_stream(spark, "nodes", f"{tmp_path}/a.car")
+    got = df.orderBy("offset").collect()
+    assert [(r.kind, r.slot) for r in got] == [(0, 7), (1, 7), (2, 7), (6, None)]
+    assert [formats.cbor_decode(r.body)[0] for r in got] == made
+    for cut in (len(raw) - 1, len(raw) - 40, 60):
+        (tmp_path / "b.car").write_bytes(raw[:cut])
+        with nodes.open_file(f"{tmp_path}/b.car") as f, pytest.raises(ValueError):
+            list(nodes.read_nodes(f, nodes.header_end(f, cut), cut))
+
+
+@pytest.mark.parametrize("run", (1 << 26, 2))
+def test_groups_end_with_a_block(spark, run):
+    df = spark.createDataFrame([("f", i, k) for i, k in enumerate((0, 1, 2, 0, 2, 6))] + [("g", 0, 2)], "file string, offset bigint, kind int")
+    got = formats.group_until_block(df, run=run).orderBy("file", "offset").collect()
+    assert [(r.group, r.closed) for r in got] == [(0, True)] * 3 + [(1, True)] * 2 + [(2, False), (0, True)]
+
+
+def _archive(tmp_path, slots):
+    data, index = bytearray(nodes.write_header([])), []
+    for slot in range(10):
+        part = nodes.slot_sections(slot, slot - 1, 100 + slot, [(i, nodes.frame(b"p%d" % i), nodes.frame(b"")) for i in range(slot % 3)]) if slot in slots else b""
+        index.append((len(data), len(part)) if part else (0, 0))
+        data += part
+    (tmp_path / "e.car").write_bytes(bytes(data))
+    (tmp_path / "e.idx").write_bytes(formats.write_slot_index(index))
+    return {"path": f"{tmp_path}/e.car", "index": f"{tmp_path}/e.idx", "first_slot": 0}
+
+
+def test_archive_ranges(spark, tmp_path):
+    """Slots of a range, skipped ones left out, from many tasks; an index that promises more than the file holds is an error."""
+    at = _archive(tmp_path, {0, 2, 3, 5, 8})
+    df = nodes.read_blocks(spark, **at, start=1, end=8, split_bytes=1)
+    assert df.rdd.getNumPartitions() == 3
+    assert [(r.slot, r.block_time, r.transactions) for r in df.orderBy("slot").collect()] == [(2, 102, 2), (3, 103, 0), (5, 105, 2)]
+    assert nodes.read_blocks(spark, **at, start=6, end=8).count() == 0
+    tx = nodes.read_transactions(spark, **at).orderBy("slot", "tx_idx").collect()
+    assert [(r.slot, r.tx_idx, bytes(r.payload)) for r in tx] == [(2, 0, b"p0"), (2, 1, b"p1"), (5, 0, b"p0"), (5, 1, b"p1"), (8, 0, b"p0"), (8, 1, b"p1")]
+    assert [r.tx_count for r in nodes.read_entries(spark, **at).collect()] == [2, 2, 2]
+    whole = (tmp_path / "e.car").read_bytes()
+    last = formats.slot_index(spark.read.format("binaryFile").load(at["index"])).filter("slot = 8").first()
+    (tmp_path / "e.car").write_bytes(whole[: last.offset])
+    with pytest.raises(Exception, match="the index goes on to 8"):
+        nodes.read_blocks(spark, **at).collect()
+    with pytest.raises(Exception, match="give one"):
+        nodes.read_blocks(spark, at["path"], start=1).collect()
+
+
+def test_frames_are_reassembled():
+    payload = bytes(range(250))
+    first, rest = nodes.frames(payload, 60, codecs.crc64_iso(payload))
+    known = {}
+    for x in rest:
+        body = formats.cbor_encode(x)
+        known[nodes.content_id(body)] = nodes.Node(0, nodes.content_id(body), x, body)
+    assert nodes.reassembled(first, known) == (payload, True)
+    first[1] += 1
+    assert nodes.reassembled(first, known) == (payload, False)
+    with pytest.raises(ValueError):
+        nodes.reassembled(first, {})
+
+
+def test_statuses():
+    """Nothing, plain, compressed, and the older format, which only early epochs may have."""
+    import zstandard
+
+    plain = bytes.fromhex("0a00" "10ac02" "6202aabb" "6a01cc" "8001b817")
+    want = {"is_success": False, "fee": 300, "loaded_writable": [b"\xaa\xbb"], "loaded_readonly": [b"\xcc"], "consumed": 3000}
+    assert nodes.decode_status(plain, 200) == nodes.decode_status(zstandard.ZstdCompressor().compress(plain), 3) == want
+    assert nodes.decode_status(None, 1)["is_success"] and nodes.decode_status(b"", 1)["fee"] == 0
+    older = struct.pack("<IQQQQQQ", 0, 5000, 2, 1, 2, 2, 9)
+    assert nodes.decode_status(older, 156)["fee"] == 5000
+    with pytest.raises(ValueError):
+        nodes.decode_status(older, 157)
+
+
+def test_messages():
+    head = bytes([1]) + bytes(64)
+    body = bytes([1, 0, 1, 2]) + b"a" * 32 + b"b" * 32 + b"h" * 32 + bytes([1, 1, 2, 0, 1, 3]) + b"xyz"
+    m = nodes.parse_message(head + body)
+    assert (m["is_legacy"], m["required"], m["ro_unsigned"], m["instructions"]) == (True, 1, 1, [(1, [0, 1], b"xyz")])
+    v0 = nodes.parse_message(head + b"\x80" + body + bytes([1]) + b"t" * 32 + bytes([1, 4, 0]))
+    assert not v0["is_legacy"] and v0["lookups"] == [(b"t" * 32, [4], [])]
+    for bad in (head + body[:-1], head + body + b"z", head + b"\x81" + body):
         with pytest.raises((ValueError, IndexError)):
-            list(formats.read_nodes(raw[:cut]))
-    (tmp_path / "a.nodes").write_bytes(raw)
-    spark.dataSource.register(formats.NodeSource)
-    df = spark.read.format("nodes").option("path", f"{tmp_path}/a.nodes").load()
-    got = formats.group_until_block(df).orderBy("offset").collect()
-    assert [(r.kind, r.group, r.closed) for r in got] == [(0, 0, True), (1, 0, True), (2, 0, True), (6, 1, False)]
+            nodes.parse_message(bad)
+
+
+def test_state_archive_is_checked(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "pubkey bigint, write_version bigint, slot bigint, lamports bigint")
+    keys = spark.createDataFrame([(1,), (2,)], "pubkey bigint")
+
+    def made(name, checkpoint, updates, slot=5):
+        path = f"file://{tmp_path}/{name}"
+        states.write_state_archive(checkpoint, updates, keys, path, slot)
+        return states.read_state_archive(spark, path)
+
+    good = made("good", rows((1, 1, 3, 10)), rows((1, 4, 6, 20), (2, 2, 7, 5)))
+    assert sorted((r.pubkey, r.lamports) for r in good.state().collect()) == [(1, 20), (2, 5)]
+    assert sorted((r.pubkey, r.lamports) for r in good.state(6).collect()) == [(1, 20)]
+    assert [r.pubkey for r in good.slots(7, 9).collect()] == [2]
+    for name, updates, why in (("a", rows((3, 1, 6, 1)), "list"), ("b", rows((1, 4, 6, 1), (1, 4, 6, 2)), "twice"), ("c", rows((2, 4, 5, 1)), "checkpoint")):
+        with pytest.raises(ValueError, match=why):
+            made(name, rows((1, 1, 3, 10)), updates)
 
 
 def test_reassembly(spark):
@@ -240,16 +351,50 @@ def test_engine(spark, sf, tmp_path):
     e = Engine(spark).with_analysis("program-tracking").with_analysis(Analysis("broken", ("slot",), ("slot",), broken)).with_analysis("pubkey-stats").with_slot_range(0, 600).with_sink(f"file://{tmp_path}")
     out = e.run(streams)
     assert set(out) == {"program-tracking", "pubkey-stats"} and e.failures == {"broken": "no"}
-    first = sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/program-tracking").collect()))
+    first = sorted(map(tuple, formats.read_upserted(spark, f"file://{tmp_path}/program-tracking").collect()))
     for lo, hi in ((0, 300), (250, 600)):  # again, in overlapping parts
         Engine(spark).with_analysis("program-tracking").with_slot_range(lo, hi).with_sink(f"file://{tmp_path}").run(streams)
-    assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/program-tracking").collect())) == first
+    assert sorted(map(tuple, formats.read_upserted(spark, f"file://{tmp_path}/program-tracking").collect())) == first
     blocks = streams["blocks"].filter("slot < 600").count()
-    assert spark.read.parquet(f"file://{tmp_path}/progress").count() == 2 * blocks
+    assert formats.read_upserted(spark, f"file://{tmp_path}/progress").count() == 2 * blocks
     with pytest.raises(ValueError):
         Engine(spark).with_slot_range(5, 5)
 
 
+def test_epoch_by_epoch(spark, sf, tmp_path):
+    """Epochs one after the other, either way round, leave what one run leaves; the other analyses run too."""
+    streams, found = fixture_streams(spark, sf), []
+    for name in ("forward", "back"):
+        e = Engine(spark).with_analysis("account-writes").with_slot_range(10, 3000).with_sink(f"file://{tmp_path}/{name}")
+        out = (e.reversed() if name == "back" else e).run_by_epoch(streams, 1000)
+        assert not e.failures and e.slots == (10, 3000)
+        rows = [tuple(r) for r in out["account-writes"].collect()]
+        assert name == "forward" or [r[0] for r in rows] == sorted((r[0] for r in rows), reverse=True)
+        found.append(sorted(rows))
+    whole = Engine(spark).with_analysis("account-writes").with_analysis("tx-metadata").with_slot_range(10, 3000).run(streams)
+    assert found[0] == found[1] == sorted(tuple(r) for r in whole["account-writes"].collect())
+    assert whole["tx-metadata"].count() == streams["transactions"].filter("slot >= 10 and slot < 3000").count()
+    with pytest.raises(ValueError):
+        Engine(spark).with_slot_range(0, 5).run_by_epoch(streams)
+
+
+def test_analyses_over_archive_files(spark, tmp_path):
+    """Blocks, transactions and instructions as archive files hold them go through the runner."""
+    head, body = bytes([1]) + bytes(64), bytes([1, 0, 1, 2]) + b"a" * 32 + b"b" * 32 + b"h" * 32
+    message = head + body + bytes([2, 1, 1, 0, 0, 1, 1, 0, 0])
+    status = bytes.fromhex("10ac02" "8001b817")
+    data = nodes.write_header([]) + b"".join(nodes.slot_sections(s, s - 1, 50, [(0, nodes.frame(message), nodes.frame(status))]) for s in (4, 6))
+    (tmp_path / "x.car").write_bytes(data)
+    streams = file_streams(spark, path=f"{tmp_path}/x.car")
+    e = Engine(spark).with_analysis("program-tracking").with_analysis("tx-metadata").with_analysis("pubkey-stats")
+    out = e.run(streams)
+    assert not e.failures
+    got = sorted((r.slot, r.program_id, r["count"], r.total_cus, r.timestamp) for r in out["program-tracking"].collect())
+    assert got == [(s, (b"b" * 32).hex().upper(), 2, 3000, 50) for s in (4, 6)]
+    assert [(r.slot, r.txn_fee, r.num_ixs, r.num_accounts_rw) for r in out["tx-metadata"].orderBy("slot").collect()] == [(4, 300, 2, 1), (6, 300, 2, 1)]
+    assert out["pubkey-stats"].count() == 2
+
+
 def test_command_line(capsys):
     from slotframe.__main__ import main
 

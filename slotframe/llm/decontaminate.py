@@ -292,7 +292,7 @@ class LeakModel:
     queries: Queries
     words: Vocabulary
     embed: np.ndarray  # words x rank: weight times whitened singular vectors
-    cosine: float = 0.45
+    cosine: float = 0.35
     loose: float = 0.6
     answer: float = 0.8
     strict: float = 0.85

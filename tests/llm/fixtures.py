@@ -4,7 +4,7 @@ import random
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, bucket string, label string, digest string, id int, th int, key int, kept string, _text string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, bucket string, label string, digest string, id int, th int, key int, kept string, _text string, _i bigint, _d string, _s string, _h bigint, _th bigint, _key bigint, _grp int, _mix_id bigint, _stay_id bigint, draws string, h string"
 
 
 def prose(rng, n):
@@ -40,7 +40,7 @@ def documents(seed=3):
 
 def table(spark, rows):
     """The rows with columns whose names operators use themselves."""
-    full = [(i, t, lang, s, len(t or ""), 1, "b", "l", "d", 2, 3, 4, "k", "t") for i, t, lang, s in rows]
+    full = [(i, t, lang, s, len(t or ""), 1, "b", "l", "d", 2, 3, 4, "k", "t", 5, "d", "s", 6, 7, 8, 9, 10, 11, "w", "h") for i, t, lang, s in rows]
     return spark.createDataFrame(full, SCHEMA).repartition(3)
 
 

@@ -7,6 +7,10 @@ documents that hold benchmark items go; sources are mixed to target weights, a r
 each drawn copy; token ids are written as equal-length sequences, and the rows returned,
 one a drawn copy, are read back from those files.
 
+Defined cases: null texts are empty and fail the quality rules; null ids, null sources, repeated
+rows and columns of any name pass through as each stage's operator says; an empty table gives an
+empty result.  Texts of any length are worked on as a whole.
+
 SQL cannot express the sketches, the latent space, the draws or the tokenizer, so
 ``ORACLE_SQL`` is None; tests hold the stages against brute force.
 """
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from slotframe.llm import decontaminate, minhash, mixing, quality, tokens
-from slotframe.llm.common import materialize, new_dir
+from slotframe.llm.common import materialize, new_dir, release, release_since, scratch_mark
 from slotframe.llm.registry import tokenizer_path
 
 
@@ -52,8 +56,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are a table in the shared folder."""
+    """All stages over ``documents``; each stage's rows are a table in the shared folder, and what it was made from goes.
+
+    The token files of the last stage stay.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        mark = scratch_mark()
+        after = materialize(stage(spark, docs, sf_dir), name)
+        if name != STAGES[-1][0]:
+            release_since(spark, mark, after)
+        release(docs)
+        docs = after
     return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codecs import siphash_column
 from ..functions.ints import clamp_slot, clamp_time, saturate32, wrap32
 from ..plans import fixtures as fx
 from ..plans.register import query
@@ -67,11 +68,18 @@ def pubkey_mentions(spark, d):
 
 @query("A4_pubkeys", "SELECT DISTINCT l_partkey AS pubkey, CAST('0x' || substr(md5(CAST(l_partkey AS VARCHAR)), 1, 15) AS BIGINT) AS id FROM lineitem")
 def pubkeys(spark, d):
-    """The key dictionary; ids are 60 bits of MD5 here, F6 has the SipHash ones."""
+    """The key dictionary with 60 bits of MD5, which SQL can check, as ids; ``A4_siphash_ids`` has the rule's own."""
     md5 = F.md5(F.col("pubkey").cast("string"))
     return fx.instructions(spark, d).select(F.col("key").alias("pubkey")).distinct().withColumn("id", F.conv(F.substring(md5, 1, 15), 16, 10).cast("bigint"))
 
 
+@query("A4_siphash_ids")
+def siphash_ids(spark, d):
+    """The key dictionary with ids by the rule: SipHash-2-4 of the key under a zero key."""
+    keys = fx.instructions(spark, d).select(F.col("key").alias("pubkey")).distinct()
+    return keys.withColumn("id", siphash_column(F.encode(F.col("pubkey").cast("string"), "utf-8")).cast("decimal(20,0)"))
+
+
 @query(
     "A5_account_write_stats",
     f"""WITH {fx.UPD_SQL}, {fx.BLOCKS_SQL} SELECT slot, least(greatest(any_value(block_time), 0), 4294967295) AS timestamp, count(pubkey) AS writes,

@@ -69,3 +69,19 @@ def test_ranges():
     for bad in ((0, 5), (5, 4), (5, e)):
         with pytest.raises(ValueError):
             units.check_replay_range(*bad)
+
+
+def test_many_values_at_once():
+    """Batches give what single values give, whatever their lengths."""
+    import random
+
+    rng = random.Random(1)
+    values = [rng.randbytes(rng.choice((0, 1, 7, 8, 9, 32, 33, 64))) for _ in range(300)] + [bytes(32), bytes(5), b"\0\0a", b"\xff" * 64]
+    assert codecs.siphash64_many(values).tolist() == [codecs.siphash64(v) for v in values]
+    assert codecs.siphash64_many(values, 5, 9).tolist() == [codecs.siphash64(v, 5, 9) for v in values]
+    assert codecs.crc64_many(values).tolist() == [codecs.crc64_iso(v) for v in values]
+    assert codecs.base58_many(values) == [codecs.base58_encode(v) for v in values]
+    assert [f([]) if f is codecs.base58_many else f([]).tolist() for f in (codecs.base58_many, codecs.siphash64_many, codecs.crc64_many)] == [[], [], []]
+    # published: the SipHash-2-4 test vectors' key and their fifteen-byte message
+    k0, k1 = (int.from_bytes(bytes(range(i, i + 8)), "little") for i in (0, 8))
+    assert codecs.siphash64_many([bytes(range(15))], k0, k1).tolist() == [0xA129CA6149BE45E5]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -97,6 +98,15 @@ def spare(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def trim() -> None:
+    """Give memory that a finished task has freed back to the system, for workers are kept."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # ---------------------------------------------------------------- hashing
 
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_POWERS, Texts, Words, prefix_hash, seq_hash
+from .common import U64, WORD_POWERS, Texts, Words, prefix_hash, seq_hash, trim
 from .windows import estimated_bytes, ranges
 
 RANK, OVER = 64, 8
@@ -397,6 +397,7 @@ def hits_column(text: Column, model: LeakModel) -> Column:
                 for i, item, *rest in model.find(t, ready):
                     lists[a + i].append(dict(zip(names, (model.queries.items[item], *rest), strict=True)))
             yield pa.array(lists, kind)
+        trim()
 
     return find(text)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, mix64
+from .common import U64, materialize, mix64, trim
 from .links import KEYS, classes, id_of, pack_keys
 from .windows import bucket_count
 
@@ -176,6 +176,7 @@ def fuzzy_line_classes(docs: DataFrame, width: int = 8, least: float = 0.8, band
                 a = z
             if found:
                 yield pack_keys(np.concatenate(found), np.concatenate(ids), buckets)
+        trim()
 
     def texts(ids: DataFrame) -> DataFrame:
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

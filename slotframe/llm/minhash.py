@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_POWERS, Texts, Words, materialize, mix64, prefix_hash, seq_hash, spare
+from .common import U64, WORD_POWERS, Texts, Words, materialize, mix64, prefix_hash, seq_hash, spare, trim
 from .links import KEYS, classes, digest_columns, pack_keys
 from .windows import bucket_count
 
@@ -185,6 +185,7 @@ def near_classes(docs: DataFrame, width: int = 5, least: float = 0.8, count: int
                     owners.append(np.repeat(ids[first + np.flatnonzero(np.diff(off))], count))
             if keys:
                 yield pack_keys(np.concatenate(keys), np.concatenate(owners), buckets)
+        trim()
 
     keys = own.select("id", "text").mapInArrow(sketch, KEYS)
     # a merge join at every size: disk use then grows with the input, not with a change of plan

@@ -32,7 +32,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, new_dir
+from .common import Texts, new_dir, trim
 from .windows import ranges
 
 #: Chunks whose ids a worker keeps in each of two generations, and the bytes of a chunk that is kept: 40 MB or so each.
@@ -272,6 +272,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, length: int
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"file": f"{out_dir}/{base.rsplit('/', 1)[1]}", "part": part, "n_docs": writer.n_docs, "n_tokens": writer.n_tokens}], pa.schema([("file", pa.string()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+        trim()
 
     manifest = ordered.mapInArrow(write, MANIFEST)
     path = new_dir(spark, "token-manifest")

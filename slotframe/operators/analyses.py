@@ -66,18 +66,11 @@ def pubkey_mentions(spark, d):
     return counts.join(fx.blocks(spark, d).select("slot", clamp_time("block_time").alias("timestamp")), "slot")
 
 
-@query("A4_pubkeys", "SELECT DISTINCT l_partkey AS pubkey, CAST('0x' || substr(md5(CAST(l_partkey AS VARCHAR)), 1, 15) AS BIGINT) AS id FROM lineitem")
+@query("A4_pubkeys", f"WITH {fx.KEYS_SQL} SELECT key AS pubkey, CAST({fx.siphash_sql('h')} AS DECIMAL(20, 0)) AS id FROM keys")
 def pubkeys(spark, d):
-    """The key dictionary with 60 bits of MD5, which SQL can check, as ids; ``A4_siphash_ids`` has the rule's own."""
-    md5 = F.md5(F.col("pubkey").cast("string"))
-    return fx.instructions(spark, d).select(F.col("key").alias("pubkey")).distinct().withColumn("id", F.conv(F.substring(md5, 1, 15), 16, 10).cast("bigint"))
-
-
-@query("A4_siphash_ids")
-def siphash_ids(spark, d):
-    """The key dictionary with ids by the rule: SipHash-2-4 of the key under a zero key."""
+    """The key dictionary: distinct keys with their ids, SipHash-2-4 of the key's 32 bytes under a zero key."""
     keys = fx.instructions(spark, d).select(F.col("key").alias("pubkey")).distinct()
-    return keys.withColumn("id", siphash_column(F.encode(F.col("pubkey").cast("string"), "utf-8")).cast("decimal(20,0)"))
+    return keys.withColumn("id", siphash_column(F.unhex(F.sha2(F.col("pubkey").cast("string"), 256))).cast("decimal(20,0)"))
 
 
 @query(

@@ -21,7 +21,7 @@ def _key(c="key"):
     return F.unhex(F.sha2(F.col(c).cast("string"), 256))
 
 
-@query("F6_siphash")
+@query("F6_siphash", f"WITH {fx.KEYS_SQL} SELECT key, CAST({fx.siphash_sql('h')} AS VARCHAR) AS id FROM keys")
 def f6(spark, d):
     return fx.instructions(spark, d).select("key").distinct().select("key", codecs.siphash_column(_key()).alias("id"))
 
@@ -31,7 +31,12 @@ def f7(spark, d):
     return fx.instructions(spark, d).select("key").distinct().select("key", codecs.xxh64_column(_key()).alias("checksum"))
 
 
-@query("F8_crc64")
+@query(
+    "F8_crc64",
+    """WITH k AS (SELECT DISTINCT l_partkey AS key, sha256(CAST(l_partkey AS VARCHAR)) AS h FROM lineitem)
+SELECT key, CAST(xor(list_reduce(list_prepend(18446744073709551615::UBIGINT, list_transform(range(32), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS UBIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: 0::UBIGINT)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 15564440312192434176::UBIGINT) ELSE x >> 1 END)), 18446744073709551615::UBIGINT) AS VARCHAR) AS checksum FROM k""",
+)
 def f8(spark, d):
     return fx.instructions(spark, d).select("key").distinct().select("key", codecs.crc64_column(_key()).alias("checksum"))
 
@@ -43,7 +48,11 @@ def f9(spark, d):
     return keys.select(F.sha2(F.array_join("k", ""), 256).alias("digest"), F.size("k").cast("bigint").alias("accounts"))
 
 
-@query("F10_plugin_ids")
+@query(
+    "F10_plugin_ids",
+    """SELECT name, CAST(list_reduce(list_prepend(1, list_transform(range(32), lambda i: CAST('0x' || substr(sha256(name), CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER))), lambda r, b: (r * 31 + b) % 65536) AS INTEGER) AS id
+FROM (SELECT unnest(['program-tracking', 'instruction-tracking', 'pubkey-stats', 'tx-metadata']) AS name)""",
+)
 def f10(spark, d):
     names = ("program-tracking", "instruction-tracking", "pubkey-stats", "tx-metadata")
     return spark.createDataFrame([(n, codecs.plugin_id(n)) for n in names], "name string, id int")
@@ -88,7 +97,11 @@ def f16(spark, d):
     return fx.instructions(spark, d).select(F.col("key").alias("rank")).distinct().withColumn("bytes", width)
 
 
-@query("F17_units")
+@query(
+    "F17_units",
+    """SELECT text, bytes, CASE WHEN bytes >= 1073741824 THEN printf('%.2f GiB', bytes / 1073741824.0) WHEN bytes >= 1048576 THEN printf('%.2f MiB', bytes / 1048576.0) WHEN bytes >= 1024 THEN printf('%.2f KiB', bytes / 1024.0) ELSE bytes || ' B' END AS shown, format('{:,}', bytes) AS grouped
+FROM (SELECT text, CAST(regexp_replace(text, '[^0-9]', '', 'g') AS BIGINT) * CASE WHEN text ILIKE '%g%' THEN 1073741824 WHEN text ILIKE '%m%' THEN 1048576 WHEN text ILIKE '%k%' THEN 1024 ELSE 1 END AS bytes FROM (SELECT unnest(['4GiB', '512mb', '1_000', '64k']) AS text))""",
+)
 def f17(spark, d):
     rows = [(t, units.parse_bytes(t), units.format_bytes(units.parse_bytes(t)), units.thousands(units.parse_bytes(t))) for t in ("4GiB", "512mb", "1_000", "64k")]
     return spark.createDataFrame(rows, "text string, bytes bigint, shown string, grouped string")

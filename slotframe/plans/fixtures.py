@@ -103,3 +103,29 @@ def updates(spark, sf_dir) -> DataFrame:
 UPD_SQL = """upd AS (SELECT user_id AS pubkey, event_id AS write_version, CAST(floor(floor(epoch(ts)) / 3600) AS BIGINT) % 5000 AS slot,
   CASE WHEN event_type = 'error' THEN 0 ELSE CAST(floor(value * 100) AS BIGINT) END AS lamports, CAST(length(props) AS BIGINT) AS data_len,
   event_type AS kind FROM events)"""
+
+
+def siphash_sql(digits: str) -> str:
+    """SQL for SipHash-2-4 with a zero key over the 32 bytes that a column of hexadecimal digits holds; a number below 2**64.
+
+    The state is a list of four numbers; steps of the message are folded over it.
+    """
+    wrap = "18446744073709551616::HUGEINT"
+    add = lambda x, y: f"(({x} + {y}) % {wrap})"
+    turn = lambda x, n: f"(({x} * {1 << n}) % {wrap} + {x} // {1 << (64 - n)})"
+    bind = lambda name, value, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+    step = lambda *v: "[" + ", ".join(f"{x}::HUGEINT" for x in v) + "]"
+    last = f"[w[1], xor({turn('w[2]', 17)}, w[3]), {turn('w[3]', 32)}, xor({turn('w[4]', 21)}, w[1])]"
+    third = bind("w", f"[{add('u[1]', 'u[4]')}, u[2], {add('u[3]', 'u[2]')}, u[4]]", last)
+    second = bind("u", f"[{turn('t[1]', 32)}, xor({turn('t[2]', 13)}, t[1]), t[3], xor({turn('t[4]', 16)}, t[3])]", third)
+    one_round = bind("t", f"[{add('s[1]', 's[2]')}, s[2], {add('s[3]', 's[4]')}, s[4]]", second)
+    words = ["CAST('0x' || " + " || ".join(f"substr({digits}, {16 * i + 2 * k + 1}, 2)" for k in range(7, -1, -1)) + " AS UBIGINT)" for i in range(4)]
+    steps = [step(0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573)]
+    for m in (*words, 32 << 56):
+        steps += [step(0, m, 0, 0), step(1, 0, 0, 0), step(1, 0, 0, 0), step(2, m, 0, 0)]
+    steps += [step(3, 0, 0, 0), *[step(1, 0, 0, 0)] * 4]
+    fold = f"CASE e[1] WHEN 0 THEN [s[1], s[2], s[3], xor(s[4], e[2])] WHEN 1 THEN {one_round} WHEN 2 THEN [xor(s[1], e[2]), s[2], s[3], s[4]] ELSE [s[1], s[2], xor(s[3], 255::HUGEINT), s[4]] END"
+    return bind("v", f"list_reduce([{', '.join(steps)}], lambda s, e: {fold})", "xor(xor(v[1], v[2]), xor(v[3], v[4]))")
+
+
+KEYS_SQL = "keys AS (SELECT DISTINCT l_partkey AS key, sha256(CAST(l_partkey AS VARCHAR)) AS h FROM lineitem)"

@@ -130,7 +130,7 @@ def reassemble(parts: DataFrame) -> DataFrame:
     return whole.select("root", "payload", check("payload", "checksum").alias("ok"))
 
 
-@query("S6_reassembled_payloads")
+@query("S6_reassembled_payloads", "SELECT l_orderkey AS slot, CAST(sum(length(CAST(l_linenumber AS VARCHAR) || ',' || CAST(l_suppkey AS VARCHAR) || ',' || CAST(l_partkey AS VARCHAR))) AS INTEGER) AS bytes, true AS ok FROM lineitem GROUP BY l_orderkey")
 def s6(spark, d):
     """Line items of an order as the parts of one payload."""
     ix = fx.instructions(spark, d).groupBy("slot").agg(F.sort_array(F.collect_list(F.concat_ws(",", "tx_idx", "program_id", "key"))).alias("p"))

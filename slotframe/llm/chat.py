@@ -11,7 +11,8 @@ Defined cases: a null text or part list is empty text; null turns come first, ti
 of one turn are ordered by role and text, and repeated rows stay repeated turns; a
 null conversation id is a conversation of its own; a null role is an empty one.  A
 conversation is streamed turn by turn, in a bounded amount of memory apart from one
-turn, so one that holds a third of all rows is slow but fits.
+turn, so one that holds a third of all rows is slow but fits: its digests are over its turns in
+order, which no two tasks can share.  An empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ executor.  Scoring covers every byte of every text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is
 every text when no labelled row is there; null labels and null ids of labelled rows are
-not learned from; ties go to the first language in order; repeated rows score alike.
+not learned from; ties go to the first language in order; repeated rows score alike; an
+empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ stays.
 Lines shorter than a shingle are one shingle.  Defined cases: a null or empty text has no
 lines; equal lines are one class; null doc_ids come last; repeated rows are copies of
 each other, and of those the first occurrence is not unique, so all rows of that id and
-line number stay.
+line number stay; a line of any length is hashed and compared as a whole; an empty table gives an empty result;
+other columns may have any name.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ words in repeated windows) or when any coverage exceeds its limit.
 Defined cases: a null or empty text has no words, so the base rule rejects it; a
 repeated row is judged like any other; other columns are never touched, whatever
 their names.  Texts of any length are judged whole: a text longer than a slice is
-a slice of its own.
+a slice of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations

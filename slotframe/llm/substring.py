@@ -9,7 +9,8 @@ equal ids, null ids and hot passages are dealt with.
 
 Defined cases: a null or empty text has no words and hashes as the empty string; a text
 shorter than a window loses nothing; a window that repeats only inside its own document
-stays; repeated rows of one document aren't copies of each other.
+stays; repeated rows of one document aren't copies of each other; a text of any length is cut into
+overlapping slices, no window is lost; an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ whole need none.
 
 Defined cases: a null text is empty; a text shorter than ``k`` bytes loses nothing; of
 overlapping copies inside a text the first stays; documents are ordered by id (null
-first), then by a hash of the text; rows equal in both are one document.
+first), then by a hash of the text; rows equal in both are one document; a text of any length is
+cut into overlapping slices, no window is lost; an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations

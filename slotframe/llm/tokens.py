@@ -13,7 +13,8 @@ attempt; the manifest, a small table, names the attempts that count.  Lost execu
 therefore leave at most unnamed files behind.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id comes first;
-repeated doc_ids are kept, ordered by text; an empty table gives an empty manifest.
+repeated doc_ids are kept, ordered by text; a text of any length is encoded as a whole; an empty
+table gives an empty manifest; other columns may have any name.
 """
 
 from __future__ import annotations

@@ -22,10 +22,12 @@ EVENT = "slot bigint, kind string, n bigint, block_time bigint"
 FINAL = "slot bigint, txs bigint, timestamp bigint"
 
 
-def finalise(events: DataFrame, keep_ms: int = 3_600_000) -> DataFrame:
+def finalise(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """(slot, txs, timestamp) as soon as a slot's block is in; a transaction after it emits the slot anew.
 
-    The state of a slot goes ``keep_ms`` after its last event once its block is in; slots without a block stay.
+    With ``keep_ms`` the state of a slot goes that long after its last event once its block is in, which a stream that
+    runs on needs; slots without a block stay.  A run over what is there (``availableNow``) ends only without it, for
+    timeouts ask for batches for ever.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -40,10 +42,11 @@ def finalise(events: DataFrame, keep_ms: int = 3_600_000) -> DataFrame:
                 seen, time = True, int(block["block_time"].fillna(0).iloc[-1])
         state.update((txs, time, seen))
         if seen:
-            state.setTimeoutDuration(keep_ms)
+            if keep_ms is not None:
+                state.setTimeoutDuration(keep_ms)
             yield pd.DataFrame({"slot": [key[0]], "txs": [txs], "timestamp": [min(max(time, 0), (1 << 32) - 1)]})
 
-    return events.groupBy("slot").applyInPandasWithState(step, FINAL, "txs bigint, time bigint, seen boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("slot").applyInPandasWithState(step, FINAL, "txs bigint, time bigint, seen boolean", "update", GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def drain(events: DataFrame) -> DataFrame:

@@ -199,7 +199,7 @@ def fuzzy_line_classes(docs: DataFrame, width: int = 8, least: float = 0.8, band
                     digests.append(digest(s))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary())], names=["_id", "line_no", "digest"])
 
-    labels = classes(own.select("_text").mapInArrow(keys, KEYS), texts, lambda a, b: similar_lines(a, b, width, least), lambda t: line_shingles(t, width), least, lambda n, m: least / (1 + least) * (n + m) - 1e-9)
+    labels = classes(own.select("_text").mapInArrow(keys, KEYS), texts, lambda a, b: similar_lines(a, b, width, least), lambda t: line_shingles(t, width), least, lambda n, m: least / (1 + least) * (n + m) - 1e-9, 256)
     at = materialize(own.mapInArrow(places, "_id bigint, line_no int, digest binary"), "line-places")
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("d"), F.col("line_no").alias("l"))
     firsts = at.groupBy("digest").agg(F.min(place).alias("f"))

@@ -40,8 +40,8 @@ KEYS = "bucket bigint, key binary, id binary, many binary"
 COUNTERS = 1 << 18
 #: Pairs that a member of a key may have in the first further round; sixteen times as many in each one after it.
 CENTRES = 16
-#: Bins of a profile, and members of a key that are compared at a time.
-BINS, BLOCK = 512, 1024
+#: Members of a key that are compared at a time.
+BLOCK = 1024
 
 
 def digest_columns(text) -> dict:
@@ -109,7 +109,7 @@ def star_pairs(rows: DataFrame, centre: DataFrame) -> DataFrame:
     return rows.join(centre, "key").select("a", F.col("id").alias("b")).filter("a != b").distinct()
 
 
-def classes(keys: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: Callable[[list, list], list], units: Callable[[list], tuple], least: float, need: Callable) -> DataFrame:
+def classes(keys: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: Callable[[list, list], list], units: Callable[[list], tuple], least: float, need: Callable, bins: int = 512) -> DataFrame:
     """(node, label) of the digests that are linked with others; ``keys`` are blobs of :func:`pack_keys`.
 
     ``texts(ids)`` gives (id, digest, text) of the ids asked for, each text once; ``similar`` judges two
@@ -146,11 +146,11 @@ def classes(keys: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: C
     apart = materialize(members.join(several, "key", "left_semi").select("x").distinct(), "apart")
     release(pairs)
     if not apart.isEmpty():
-        rare = rarest(known.join(apart.withColumnRenamed("x", "digest"), "digest", "left_semi"), units, least)
+        rare = rarest(known.join(apart.withColumnRenamed("x", "digest"), "digest", "left_semi"), units, least, bins)
         centres_each, open_keys, turn = CENTRES, None, 0
         while True:
             turn += 1
-            found = close_pairs(_label(rare, labels), open_keys, least, need, centres_each, turn)
+            found = close_pairs(_label(rare, labels), open_keys, least, need, bins, centres_each, turn)
             pairs = _ordered(found.filter("key is null")).distinct()
             for t in tried:
                 pairs = pairs.join(_ordered(t), ["x", "y"], "left_anti")
@@ -171,12 +171,12 @@ def classes(keys: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: C
 RARE = "x binary, n int, over int, bins binary, keys array<bigint>"
 
 
-def rarest(known: DataFrame, units: Callable[[list], tuple], least: float) -> DataFrame:
+def rarest(known: DataFrame, units: Callable[[list], tuple], least: float, bins: int) -> DataFrame:
     """A row a text x: the rarest of its n different units as keys, so many that similar texts share one, and a profile of all its units.
 
     Of n units a similar text has ``least * n`` or more, so not all of the first
     n - ceil(least * n) + 1 can be missing; that holds for any order that is the same for all texts.
-    The profile counts units in ``BINS`` bins, up to 255 each; ``over`` is what goes beyond that.
+    The profile counts units in ``bins`` bins, up to 255 each; ``over`` is what goes beyond that.
     """
 
     def hashes(texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -209,17 +209,17 @@ def rarest(known: DataFrame, units: Callable[[list], tuple], least: float) -> Da
             for s, h, owner in hashes(texts):
                 size = min(256, len(texts) - s)
                 n = np.bincount(owner, minlength=size)
-                cell = owner * BINS + (h >> U64(40)).astype(np.int64) % BINS
-                profile = np.bincount(cell, minlength=size * BINS).reshape(size, BINS)
+                cell = owner * bins + (h >> U64(40)).astype(np.int64) % bins
+                profile = np.bincount(cell, minlength=size * bins).reshape(size, bins)
                 order = np.lexsort((h, common[(h % U64(COUNTERS)).astype(np.int64)], owner))
                 h, owner = h[order], owner[order]
                 rank = np.arange(len(h)) - (np.cumsum(n) - n)[owner]
                 taken = rank <= n[owner] - np.ceil(least * n[owner] - 1e-9)
                 key = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner[taken], minlength=size))), pa.int32()), pa.array(h[taken].view(np.int64)))
-                bins = np.minimum(profile, 255)
-                over = (profile - bins).sum(1)
-                bins = [x.tobytes() for x in bins.astype(np.uint8)]
-                yield pa.RecordBatch.from_arrays([digests.slice(s, size), pa.array(n.astype(np.int32)), pa.array(over.astype(np.int32)), pa.array(bins, pa.binary()), key], names=["x", "n", "over", "bins", "keys"])
+                held = np.minimum(profile, 255)
+                over = (profile - held).sum(1)
+                held = [x.tobytes() for x in held.astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([digests.slice(s, size), pa.array(n.astype(np.int32)), pa.array(over.astype(np.int32)), pa.array(held, pa.binary()), key], names=["x", "n", "over", "bins", "keys"])
 
     return materialize(known.select("digest", "text").mapInArrow(pick, RARE), "rarest")
 
@@ -227,7 +227,7 @@ def rarest(known: DataFrame, units: Callable[[list], tuple], least: float) -> Da
 FOUND = "x binary, y binary, key bigint"
 
 
-def close_pairs(placed: DataFrame, open_keys: DataFrame | None, least: float, need: Callable, centres_each: int, turn: int) -> DataFrame:
+def close_pairs(placed: DataFrame, open_keys: DataFrame | None, least: float, need: Callable, bins: int, centres_each: int, turn: int) -> DataFrame:
     """Pairs (x, y) of different classes that share a key and whose profiles leave room for a similarity; a key alone is not done yet.
 
     A pair is given under the least key that both have. A key's members are compared in blocks of ``BLOCK``, a task a pair of blocks, by what their profiles can have in
@@ -239,8 +239,9 @@ def close_pairs(placed: DataFrame, open_keys: DataFrame | None, least: float, ne
         rows = rows.join(open_keys, "key", "left_semi")
     mixed = rows.groupBy("key").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo != hi").select("key", "c")
     # the keys that a text goes on with are few: they come back to it before its profile is sent to each of them
-    live = rows.join(mixed, "key").groupBy("x").agg(F.collect_list(F.struct("key", "c")).alias("live"))
-    rows = placed.join(live, "x").withColumn("live", F.explode("live")).select("x", "l", "n", "over", "bins", "keys", "live.key", "live.c")
+    live = rows.join(mixed, "key").groupBy("x").agg(F.sort_array(F.collect_list(F.struct("key", "c"))).alias("live"))
+    rows = placed.join(live, "x").select("x", "l", "n", "over", "bins", "live", F.posexplode("live").alias("_at", "_k"))
+    rows = rows.select("x", "l", "n", "over", "bins", F.expr("slice(live.key, 1, _at)").alias("lesser"), "_k.key", "_k.c")
     rows = rows.withColumn("_blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
     rows = rows.withColumn("_mine", F.when(F.col("_blocks") > 1, F.pmod(F.xxhash64("x", "key"), F.col("_blocks")).cast("int")).otherwise(0))
     # a block meets itself and each other one: with block m the pairs (i, m) and (m, j) for all others
@@ -253,15 +254,15 @@ def close_pairs(placed: DataFrame, open_keys: DataFrame | None, least: float, ne
         key, i, j, mine, n, over = (table.column(c).to_numpy() for c in ("key", "_i", "_j", "_mine", "n", "over"))
         x = table.column("x").combine_chunks()
         label = table.column("l").combine_chunks().dictionary_encode().indices.to_numpy()
-        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(len(key), BINS)
-        lists, sets = table.column("keys").combine_chunks(), {}
+        profile = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(len(key), bins)
+        lists, sets = table.column("lesser").combine_chunks(), {}
 
-        def here(at: int, other: int, key: int) -> bool:
+        def here(at: int, other: int) -> bool:
             """Whether no lesser key than this one holds both: a pair is given under the least."""
             for v in (at, other):
                 if v not in sets:
                     sets[v] = set(lists[v].as_py())
-            return min(sets[at] & sets[other]) == key
+            return sets[at].isdisjoint(sets[other])
 
         drawn = np.array([hash((turn, v)) for v in x.to_pylist()]) if len(key) > centres_each else key
         order = np.lexsort((mine, j, i, key))
@@ -281,9 +282,9 @@ def close_pairs(placed: DataFrame, open_keys: DataFrame | None, least: float, ne
                 low, high = np.minimum(n[me], n[rest]), np.maximum(n[me], n[rest])
                 rest = rest[(label[rest] != label[me]) & (low >= least * high - 1e-9)]
                 if len(rest):
-                    room = np.minimum(bins[me], bins[rest]).sum(1, dtype=np.int64) + np.minimum(over[me], over[rest])
+                    room = np.minimum(profile[me], profile[rest]).sum(1, dtype=np.int64) + np.minimum(over[me], over[rest])
                     rest = rest[room >= need(n[me], n[rest])]
-                    rest = rest[[here(me, v, k[s]) for v in rest.tolist()]] if len(rest) else rest
+                    rest = rest[[here(me, v) for v in rest.tolist()]] if len(rest) else rest
                     first.append(np.full(len(rest), me))
                     other.append(rest)
             if not first:

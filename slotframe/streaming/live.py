@@ -22,13 +22,25 @@ EVENT = "slot bigint, kind string, n bigint, block_time bigint"
 FINAL = "slot bigint, txs bigint, timestamp bigint"
 
 
+#: Keyed state lies on the executors' disks: a run over a whole archive holds a row of state a slot.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def finalise(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """(slot, txs, timestamp) as soon as a slot's block is in; a transaction after it emits the slot anew.
 
-    With ``keep_ms`` the state of a slot goes that long after its last event once its block is in, which a stream that
-    runs on needs; slots without a block stay.  A run over what is there (``availableNow``) ends only without it, for
-    timeouts ask for batches for ever.
+    Without ``keep_ms`` that is a streaming aggregate, whose state stays.  With ``keep_ms`` the state of a slot goes that
+    long after its last event once its block is in, which a stream that runs on needs; slots without a block stay.  It costs a
+    Python call a slot and batch, and a run over what is there (``availableNow``) ends only without it, for timeouts ask for
+    batches for ever.
     """
+    if keep_ms is None:
+        sums = events.groupBy("slot").agg(
+            F.coalesce(F.sum(F.when(F.col("kind") == "tx", F.col("n"))), F.lit(0)).alias("txs"),
+            # of several block rows the one that came last; the state is merged before a batch's rows
+            F.last(F.when(F.col("kind") == "block", F.coalesce("block_time", F.lit(0))), ignorenulls=True).alias("time"),
+        )
+        return sums.filter("time is not null").select("slot", "txs", F.least(F.greatest("time", F.lit(0)), F.lit((1 << 32) - 1)).cast("bigint").alias("timestamp"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -42,11 +54,10 @@ def finalise(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
                 seen, time = True, int(block["block_time"].fillna(0).iloc[-1])
         state.update((txs, time, seen))
         if seen:
-            if keep_ms is not None:
-                state.setTimeoutDuration(keep_ms)
+            state.setTimeoutDuration(keep_ms)
             yield pd.DataFrame({"slot": [key[0]], "txs": [txs], "timestamp": [min(max(time, 0), (1 << 32) - 1)]})
 
-    return events.groupBy("slot").applyInPandasWithState(step, FINAL, "txs bigint, time bigint, seen boolean", "update", GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("slot").applyInPandasWithState(step, FINAL, "txs bigint, time bigint, seen boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def drain(events: DataFrame) -> DataFrame:
@@ -57,8 +68,17 @@ def drain(events: DataFrame) -> DataFrame:
 
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> None:
     """Process what is there, batch by batch, and stop."""
-    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, STATE_STORE)  # a query takes it over when it starts; one that goes on keeps what it began with
+    try:
+        q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        if before is None:
+            conf.unset(name)
+        else:
+            conf.set(name, before)
 
 
 def keep_distinct(stream: DataFrame, view: str, checkpoint: str) -> None:

@@ -332,6 +332,20 @@ def test_late_transactions_update_a_slot(spark, tmp_path):
     assert [(r.slot, r.txs, r.timestamp) for r in rest] == [(2, 1, 0)]
 
 
+def test_slots_are_finalised_without_a_python_call_each(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    for rows in ([(1, "block", 0, 5), (2, "tx", None, None), (2, "block", 0, -9)], [(1, "block", 0, 1 << 40), (1, "tx", 2, None)]):
+        spark.createDataFrame(rows, live.EVENT).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        final = live.finalise(spark.readStream.schema(live.EVENT).parquet(f"{base}/in"))
+        assert "InPandas" not in final._jdf.queryExecution().analyzed().toString()
+        live.run_available(final, lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{base}/out"), f"{base}/state")
+    got = spark.read.parquet(f"{base}/out").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 5, 0), (1, 2, (1 << 32) - 1, 1), (2, 0, 0, 0)]
+    assert spark.conf.get(provider, None) == before
+
+
 def test_duplicates_within_the_watermark(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:05"), (2, "2024-01-01 00:00:09")]
     spark.createDataFrame(rows, "slot bigint, ts string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/in")

@@ -11,15 +11,16 @@ edges name digests.
 * ``star_pairs`` pairs each id with the centre of each of its keys: the id that meets the
   most others over all its keys, which a text that others are copies of does.
 * ``classes`` verifies the pairs and joins them.  The members of a key that are still in several
-  classes go on: of their units (words or shingles), in one order by how common they are, each takes so many of
+  classes go on.  Those of a key with ``DIRECT`` members or fewer meet there again.  In a larger key each member takes,
+  of its units (words or shingles) in one order by how common they are, so many of
   the rarest that two similar texts share one (``rarest``).  Members of such a key that are in different
   classes are compared by profiles, an exact bound (``close_pairs``), and what is left by their texts.  So every
   two members of a key end in one class or are told apart.
 * ``components`` is a union-find by levels: tasks join the edges they read, the roots they found are joined on the next level.
 
 Counts and centres are aggregates with partial sums, and joins split skewed keys: nothing is
-gathered per key or node.  Every step up to the rarest units is linear in the rows that share a
-key; profile comparisons grow with the square of the texts of different classes that share a rare unit, a
+gathered per key or node.  Every step up to the profiles is linear in the rows that share a
+key; profile comparisons grow with the square of the texts of different classes that share a small key or a rare unit, a
 block of them at a time; only pairs that they can't tell apart are given on.
 """
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, release
+from .common import U64, materialize, release, trim
 from .windows import _cuts, _split
 
 KEYS = "bucket bigint, key binary, id binary, many binary"
@@ -42,6 +43,10 @@ COUNTERS = 1 << 18
 CENTRES = 16
 #: Members of a key that are compared at a time.
 BLOCK = 1024
+#: Members of a key, in several classes, that are all compared; those of larger keys are sought by their rarest units.
+DIRECT = 4096
+#: Bits of an id filter: sixteen an id, up to 16 MB.
+FILTER_BITS = 1 << 27
 
 
 def digest_columns(text) -> dict:
@@ -55,9 +60,34 @@ def id_of(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big") >> 4
 
 
+def id_filter(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """A test for numpy ids that holds for all ``ids`` and for about one in sixteen others; a join after it decides.
+
+    Rows that it turns away need no exchange.
+    """
+    spark = ids.sparkSession
+    bits = min(max(1 << 10, 1 << (16 * ids.count()).bit_length()), FILTER_BITS)
+    at = F.col("id").bitwiseAND(F.lit(bits - 1))
+    words = ids.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(bits >> 6, np.int64)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    held = spark.sparkContext.broadcast(table.view(np.uint8))
+
+    def test(x: np.ndarray) -> np.ndarray:
+        h = x & (bits - 1)
+        return (held.value[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
+
+    return test
+
+
 def _runs(key: np.ndarray, ident: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, first of its key, shared): distinct rows sorted by key, and whether a key has several ids or comes from a batch where it has."""
-    order = np.lexsort((~many, ident, key))
+    order = np.argsort(key)
+    k = key[order]
+    same = k[1:] == k[:-1]
+    met = np.flatnonzero(np.append(False, same) | np.append(same, False)) if len(k) else order
+    rows = order[met]  # most keys come once: only the others need a sort by id
+    order[met] = rows[np.lexsort((~many[rows], ident[rows], key[rows]))]
     k, i = key[order], ident[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
@@ -74,7 +104,8 @@ def pack_keys(key: np.ndarray, ident: np.ndarray, buckets: int) -> pa.RecordBatc
     """Blobs of one batch: a row of each key to the key's bucket; rows of shared keys, as they are known, to a negative one."""
     order, first, shared = _runs(key, ident, np.zeros(len(key), bool))
     key, ident = key[order], ident[order]
-    rows = [(b, *(x[first][r].tobytes() for x in (key, ident, shared))) for b, r in _split((key[first] % U64(buckets)).astype(np.int64))]
+    one = [x[first] for x in (key, ident, shared)]
+    rows = [(b, *(x[r].tobytes() for x in one)) for b, r in _split((one[0] % U64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64))]
     if shared.any():
         rows.append((-1 - int(abs(ident[0]) % buckets), key[shared].tobytes(), ident[shared].tobytes(), b""))
     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -91,6 +122,8 @@ def shared_keys(keys: DataFrame) -> DataFrame:
             order = order[shared]
             order = order[~many[order]]  # the others went on from their batch
             key, ident = key[order], ident[order]
+        if len(many) >= 1 << 18:
+            trim()
         return pa.table([pa.array(key.view(np.int64)), pa.array(ident)], names=["key", "id"])
 
     return keys.groupBy("bucket").applyInArrow(step, "key bigint, id bigint").distinct()
@@ -127,6 +160,7 @@ def classes(keys: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: C
             for s in range(0, batch.num_rows, 256):
                 ok += similar(tx.slice(s, 256).to_pylist(), ty.slice(s, 256).to_pylist())
             yield pa.RecordBatch.from_arrays([x, y, pa.array(ok, pa.bool_())], names=["x", "y", "ok"])
+        trim()
 
     def check(met: DataFrame) -> DataFrame:
         return materialize(met.select("x", "tx", "y", "ty").mapInArrow(judge, "x binary, y binary, ok boolean"), "checked")
@@ -142,11 +176,12 @@ def classes(keys: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: C
     # texts of keys whose members, without the centre that all were compared with, are in several classes
     place = _label(known.select("id", F.col("digest").alias("x")), labels)
     members = rows.join(centre, "key").filter("id != a").join(place, "id")
-    several = members.groupBy("key").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo != hi")
-    apart = materialize(members.join(several, "key", "left_semi").select("x").distinct(), "apart")
+    several = members.groupBy("key").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo != hi")
+    open_rows = members.join(several.select("key", (F.col("c") > DIRECT).alias("large")), "key")
+    apart = materialize(open_rows.groupBy("x").agg(F.collect_list(F.when(~F.col("large"), F.col("key"))).alias("direct"), F.bool_or("large").alias("large")), "apart")
     release(pairs)
     if not apart.isEmpty():
-        rare = rarest(known.join(apart.withColumnRenamed("x", "digest"), "digest", "left_semi"), units, least, bins)
+        rare = rarest(known.join(apart.withColumnRenamed("x", "digest"), "digest"), units, least, bins)
         centres_each, open_keys, turn = CENTRES, None, 0
         while True:
             turn += 1
@@ -172,8 +207,9 @@ RARE = "x binary, n int, over int, bins binary, keys array<bigint>"
 
 
 def rarest(known: DataFrame, units: Callable[[list], tuple], least: float, bins: int) -> DataFrame:
-    """A row a text x: the rarest of its n different units as keys, so many that similar texts share one, and a profile of all its units.
+    """A row a text x: its keys, and a profile of all its n different units.
 
+    The keys are those it comes with (``direct``) and, where ``large``, the rarest of its units, so many that similar texts share one.
     Of n units a similar text has ``least * n`` or more, so not all of the first
     n - ceil(least * n) + 1 can be missing; that holds for any order that is the same for all texts.
     The profile counts units in ``bins`` bins, up to 255 each; ``over`` is what goes beyond that.
@@ -199,13 +235,16 @@ def rarest(known: DataFrame, units: Callable[[list], tuple], least: float, bins:
             part = at[s : s + (1 << 14)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["at", "c"])
 
-    counts = known.select("text").mapInArrow(count, "at bigint, c bigint").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
+        trim()
+
+    counts = known.filter("large").select("text").mapInArrow(count, "at bigint, c bigint").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
     common = np.zeros(COUNTERS, np.int64)
     common[counts.column("at").to_numpy()] = counts.column("c").to_numpy()
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, texts = batch.column(0), batch.column(1).to_pylist()
+            digests, texts, direct = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
+            large = batch.column(3).to_numpy(zero_copy_only=False)
             for s, h, owner in hashes(texts):
                 size = min(256, len(texts) - s)
                 n = np.bincount(owner, minlength=size)
@@ -214,14 +253,19 @@ def rarest(known: DataFrame, units: Callable[[list], tuple], least: float, bins:
                 order = np.lexsort((h, common[(h % U64(COUNTERS)).astype(np.int64)], owner))
                 h, owner = h[order], owner[order]
                 rank = np.arange(len(h)) - (np.cumsum(n) - n)[owner]
-                taken = rank <= n[owner] - np.ceil(least * n[owner] - 1e-9)
-                key = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner[taken], minlength=size))), pa.int32()), pa.array(h[taken].view(np.int64)))
+                taken = large[s + owner] & (rank <= n[owner] - np.ceil(least * n[owner] - 1e-9))
+                own = direct.slice(s, size)
+                holder = np.append(owner[taken], np.repeat(np.arange(size), own.value_lengths().to_numpy()))
+                key = np.append(h[taken].view(np.int64), own.flatten().to_numpy())[np.argsort(holder, kind="stable")]
+                key = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(holder, minlength=size))), pa.int32()), pa.array(key))
                 held = np.minimum(profile, 255)
                 over = (profile - held).sum(1)
                 held = [x.tobytes() for x in held.astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays([digests.slice(s, size), pa.array(n.astype(np.int32)), pa.array(over.astype(np.int32)), pa.array(held, pa.binary()), key], names=["x", "n", "over", "bins", "keys"])
 
-    return materialize(known.select("digest", "text").mapInArrow(pick, RARE), "rarest")
+        trim()
+
+    return materialize(known.select("digest", "text", "direct", "large").mapInArrow(pick, RARE), "rarest")
 
 
 FOUND = "x binary, y binary, key bigint"

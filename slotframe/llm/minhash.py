@@ -23,12 +23,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, WORD_POWERS, Texts, Words, materialize, mix64, prefix_hash, seq_hash, spare, trim
-from .links import KEYS, classes, digest_columns, pack_keys
+from .links import KEYS, classes, digest_columns, id_filter, pack_keys
 from .windows import bucket_count
 
 #: Bits of a sort key that hold a shingle's place; texts with more shingles are sketched by exact hashes.
@@ -146,8 +147,12 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 def word_sequences(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of a list of texts, and the first one of each."""
-    w = Words(Texts.of(pa.array([x or "" for x in texts], pa.large_string())))
-    return w.hash, w.off
+    hashes, off = [np.empty(0, U64)], [np.zeros(1, np.int64)]
+    for _, _, t in Texts.of(pa.array([x or "" for x in texts], pa.large_string())).slices():
+        w = Words(t)
+        hashes.append(w.hash)
+        off.append(off[-1][-1] + w.off[1:])
+    return np.concatenate(hashes), np.concatenate(off)
 
 
 def labelled_words(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +193,13 @@ def near_classes(docs: DataFrame, width: int = 5, least: float = 0.8, count: int
         trim()
 
     keys = own.select("id", "text").mapInArrow(sketch, KEYS)
-    # a merge join at every size: disk use then grows with the input, not with a change of plan
-    texts = lambda ids: own.join(ids.hint("merge"), "id", "left_semi").groupBy("digest").agg(F.first("id").alias("id"), F.first("text").alias("text"))
+
+    def texts(ids: DataFrame) -> DataFrame:
+        test = id_filter(ids)
+        wanted = F.pandas_udf(lambda x: pd.Series(test(x.to_numpy())), "boolean")
+        # a merge join at every size: disk use then grows with the input, not with a change of plan
+        return own.filter(wanted("id")).join(ids.hint("merge"), "id", "left_semi").groupBy("digest").agg(F.first("id").alias("id"), F.first("text").alias("text"))
+
     return classes(keys, texts, lambda a, b: similar_texts(a, b, least), labelled_words, least, lambda n, m: np.ceil(least * np.maximum(n, m) - 1e-9))
 
 

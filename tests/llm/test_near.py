@@ -292,6 +292,54 @@ def test_lines_of_a_tree_and_a_chain(spark):
     assert coarser(found, want)
 
 
+def test_open_members_of_small_keys_travel_once_a_key(spark, monkeypatch):
+    rng = random.Random(5)
+    alphabet = "abcdefghijklmnopqrstuvwxyz "
+    rows = []
+    for g in range(20):
+        line = "".join(rng.choices(alphabet, k=400))
+        for c in range(8):  # copies that drift apart: members of a key end in several classes
+            rows.append((g * 10 + c, line, "xx", "a"))
+            at = [rng.randrange(400) for _ in range(9)]
+            line = "".join(rng.choice(alphabet) if i in at else x for i, x in enumerate(line))
+    made, whole = [], links.rarest
+    monkeypatch.setattr(links, "rarest", lambda *a: made.append(whole(*a)) or made[-1])
+    monkeypatch.setattr(links, "release", lambda *frames: None)
+    found = []
+    for most in (links.DIRECT, 1):  # all members compared, or sought by their rarest shingles
+        monkeypatch.setattr(links, "DIRECT", most)
+        found.append({(r.doc_id, r.line_no): (r.class_doc, r.class_line) for r in lines.fuzzy_line_classes(table(spark, rows)).collect()})
+    direct, rare = ([len(r["keys"]) for r in m.select("keys").collect()] for m in made)
+    assert direct and max(direct) <= 14
+    assert min(rare) > 14
+    assert found[0] == found[1]
+
+
+def test_id_filter_turns_away_most_others_and_none_of_its_own(spark):
+    ids = np.array([links.id_of(lines.digest(str(i))) for i in range(4000)], np.int64)
+    test = links.id_filter(spark.createDataFrame([(int(x),) for x in ids[:1000]], "id bigint"))
+    held = test(ids)
+    assert held[:1000].all()
+    assert held[1000:].mean() < 0.1
+    assert not links.id_filter(spark.createDataFrame([], "id bigint"))(ids).any()
+
+
+def test_word_hashes_do_not_depend_on_the_slices():
+    texts = ["a b c", None, "word " * 40000, "", "a b c " * 30000, "tail a"]
+    h, off = minhash.word_sequences(texts)
+    for i, x in enumerate(texts):
+        alone, _ = minhash.word_sequences([x])
+        assert np.array_equal(h[off[i] : off[i + 1]], alone)
+        assert len(alone) == len(words(x or ""))
+
+
+def test_workers_hash_a_list_of_texts_slice_by_slice(monkeypatch):
+    sizes, whole = [], minhash.Words
+    monkeypatch.setattr(minhash, "Words", lambda t: sizes.append(len(t.data)) or whole(t))
+    minhash.word_sequences(["word " * 1000] * 256)
+    assert max(sizes) <= 128 << 10
+
+
 def test_sketches_of_texts_with_more_shingles_than_places(monkeypatch):
     """Texts whose places don't fit beside the hash have the same sketches."""
     rng = random.Random(2)

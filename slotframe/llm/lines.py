@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, materialize, mix64, trim
-from .links import KEYS, classes, id_of, pack_keys
+from .links import KEYS, classes, id_filter, id_of, pack_keys
 from .windows import bucket_count
 
 #: Lines are hashed in runs of about this many characters.
@@ -180,11 +180,15 @@ def fuzzy_line_classes(docs: DataFrame, width: int = 8, least: float = 0.8, band
         trim()
 
     def texts(ids: DataFrame) -> DataFrame:
+        wanted = id_filter(ids)
+
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 lines = list({s: 0 for x in batch.column(0).to_pylist() for _, s in split_lines(x)})
                 d = [digest(x) for x in lines]
-                yield pa.RecordBatch.from_arrays([pa.array([id_of(x) for x in d], pa.int64()), pa.array(d, pa.binary()), pa.array(lines, pa.string())], names=["id", "digest", "text"])
+                found = np.array([id_of(x) for x in d], np.int64)
+                at = np.flatnonzero(wanted(found)).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(found[at]), pa.array([d[i] for i in at], pa.binary()), pa.array([lines[i] for i in at], pa.string())], names=["id", "digest", "text"])
 
         every = own.select("_text").mapInArrow(emit, "id bigint, digest binary, text string")
         return every.join(ids.hint("merge"), "id", "left_semi").groupBy("digest").agg(F.first("id").alias("id"), F.first("text").alias("text"))

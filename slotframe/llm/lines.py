@@ -30,6 +30,8 @@ from .windows import bucket_count
 
 #: Lines are hashed in runs of about this many characters.
 RUN_CHARS = 64 << 10
+#: Pairs of lines are compared in runs of so many characters at most, or a pair.
+PAIR_CHARS = 1 << 20
 #: Draws of a full bin for an empty one.
 ATTEMPTS = 4
 SPACE = " \t\n\x0b\x0c\r"
@@ -137,21 +139,63 @@ def line_shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]
     return mix64(h[at]), off
 
 
-def similar_lines(left: list[str], right: list[str], width: int, least: float) -> list[bool]:
-    known: dict[str, set] = {}  # centres recur
+def packed_shingles(lines: list[str], width: int) -> list[np.ndarray | None]:
+    """The distinct shingles of each line as sorted numbers, equal for equal shingles and only for those.
+
+    A number holds the characters' places in the alphabet of the lines, 0 after a line shorter than a shingle. So many
+    characters, the most frequent ones, have a place as leave room for ``width`` of them in 64 bits; a line with another one gives None.
+    """
+    c = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    count = np.bincount(c)
+    letters = np.flatnonzero(count)
+    bits = 64 // width
+    if len(letters) >= 1 << bits:
+        letters = letters[np.argsort(-count[letters], kind="stable")[: (1 << bits) - 1]]
+    place = np.zeros(len(count), U64)
+    place[letters] = np.arange(1, len(letters) + 1)
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    end = np.cumsum(size)
+    room = np.maximum(size, width)
+    off = np.append(0, np.cumsum(room))
+    h, n = np.zeros(off[-1], U64), 1  # n characters a number; two numbers make one of up to 2n, where they overlap they agree
+    code = place[c]
+    h[np.arange(len(c)) + np.repeat(off[:-1] - end + size, size)] = code
+    other = np.zeros(len(lines), bool)
+    other[np.repeat(np.arange(len(lines)), size)[code == 0]] = True
+    while n < width:
+        k = min(n, width - n)
+        h = h[:-k] << U64(bits * k) | h[k:]
+        n += k
+    out: list[np.ndarray | None] = []
+    for a, z, o in zip(off[:-1].tolist(), (off[1:] - width + 1).tolist(), other.tolist(), strict=True):
+        s = np.sort(h[a:z]) if not o else None
+        out.append(np.append(s[:1], s[1:][s[1:] != s[:-1]]) if not o else None)
+    return out
 
-    def shingles(line: str) -> set:
-        if line not in known:
-            if len(known) >= 256:
-                known.clear()
-            known[line] = shingle_set(line, width)
-        return known[line]
 
+def similar_lines(left: list[str], right: list[str], width: int, least: float) -> list[bool]:
+    if len(left) > 1 and sum(map(len, left)) + sum(map(len, right)) > PAIR_CHARS:
+        h = len(left) // 2
+        return similar_lines(left[:h], right[:h], width, least) + similar_lines(left[h:], right[h:], width, least)
+    lines = list(dict.fromkeys([*left, *right]))
+    packed = dict(zip(lines, packed_shingles(lines, width), strict=True))
+    sets: dict[str, set] = {}  # of lines with a rare character, and those that they are compared with
     out = []
     for a, b in zip(left, right, strict=True):
-        n, m = (max(1, len(x) - width + 1) for x in (a, b))  # shingles that each has at most
-        x = shingles(a)
-        out.append(m >= least * len(x) and n >= least * len(y := shingles(b)) and jaccard(x, y) >= least)
+        x, y = packed[a], packed[b]
+        if x is None or y is None:
+            for s in (a, b):
+                if s not in sets:
+                    sets[s] = shingle_set(s, width)
+            out.append(jaccard(sets[a], sets[b]) >= least)
+            continue
+        n, m = len(x), len(y)
+        if min(n, m) < least * max(n, m):
+            out.append(False)
+            continue
+        both = np.sort(np.concatenate((x, y)))
+        shared = int(np.count_nonzero(both[1:] == both[:-1]))
+        out.append(shared / (n + m - shared) >= least)
     return out
 
 
@@ -179,35 +223,47 @@ def fuzzy_line_classes(docs: DataFrame, width: int = 8, least: float = 0.8, band
                 yield pack_keys(np.concatenate(found), np.concatenate(ids), buckets)
         trim()
 
+    at = None
+
     def texts(ids: DataFrame) -> DataFrame:
+        # one pass gives the place of every line and the texts of lines that may be linked
+        nonlocal at
         wanted = id_filter(ids)
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                lines = list({s: 0 for x in batch.column(0).to_pylist() for _, s in split_lines(x)})
-                d = [digest(x) for x in lines]
+                docs, numbers, which, first = [], [], [], []
+                lines: dict[str, int] = {}
+                for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for n, s in split_lines(x):
+                        k = lines.setdefault(s, len(lines))
+                        if k == len(first):
+                            first.append(len(which))
+                        docs.append(i)
+                        numbers.append(n)
+                        which.append(k)
+                d = [digest(s) for s in lines]
                 found = np.array([id_of(x) for x in d], np.int64)
-                at = np.flatnonzero(wanted(found)).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(found[at]), pa.array([d[i] for i in at], pa.binary()), pa.array([lines[i] for i in at], pa.string())], names=["id", "digest", "text"])
-
-        every = own.select("_text").mapInArrow(emit, "id bigint, digest binary, text string")
+                ok = wanted(found)
+                text: list[str | None] = [None] * len(which)
+                for s, f, o in zip(lines, first, ok.tolist(), strict=True):
+                    if o:
+                        text[f] = s
+                which = pa.array(which, pa.int64())
+                columns = [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(d, pa.binary()).take(which), pa.array(found, mask=~ok).take(which), pa.array(text, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "line_no", "digest", "id", "text"])
+            trim()
+
+        # id is null where a line is not wanted, text also where the batch has the line before
+        at = materialize(own.mapInArrow(emit, "_id bigint, line_no int, digest binary, id bigint, text string"), "line-places")
+        every = at.filter("text is not null").select("id", "digest", "text")
         return every.join(ids.hint("merge"), "id", "left_semi").groupBy("digest").agg(F.first("id").alias("id"), F.first("text").alias("text"))
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, numbers, digests = [], [], []
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for n, s in split_lines(x):
-                    ids.append(i)
-                    numbers.append(n)
-                    digests.append(digest(s))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary())], names=["_id", "line_no", "digest"])
-
     labels = classes(own.select("_text").mapInArrow(keys, KEYS), texts, lambda a, b: similar_lines(a, b, width, least), lambda t: line_shingles(t, width), least, lambda n, m: least / (1 + least) * (n + m) - 1e-9, 256)
-    at = materialize(own.mapInArrow(places, "_id bigint, line_no int, digest binary"), "line-places")
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("d"), F.col("line_no").alias("l"))
     firsts = at.groupBy("digest").agg(F.min(place).alias("f"))
-    linked = materialize(firsts.join(labels.withColumnRenamed("node", "digest"), "digest"), "linked-lines")  # a small part of all lines
+    wanted = at.filter("id is not null").groupBy("digest").agg(F.min(place).alias("f"))  # a small part of all lines, with all linked ones
+    linked = materialize(wanted.join(labels.withColumnRenamed("node", "digest"), "digest"), "linked-lines")
     heads = linked.groupBy("label").agg(F.min("f").alias("g"))
     linked = linked.join(heads, "label").select("digest", "g")
     firsts = firsts.join(linked, "digest", "left").select("digest", F.coalesce("g", "f").alias("first"))

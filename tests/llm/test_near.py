@@ -271,6 +271,43 @@ def test_documents_of_a_mutation_tree(spark):
     assert coarser(found, want)
 
 
+@pytest.mark.parametrize("width", [1, 3, 8, 13])
+def test_line_similarity_in_packed_shingles(width):
+    """Short lines, lines with NUL, and alphabets of several scripts, which have no room in 64 bits."""
+    rng = random.Random(width)
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 600)))
+    for _ in range(60):
+        left = ["".join(rng.choices(rng.choice(["ab", "ab\0", "abcdefgh é\U0001f600", wide]), k=rng.randrange(1, 40))) for _ in range(rng.randrange(1, 20))]
+        right = [rng.choice([x, x[: rng.randrange(1, len(x) + 1)], x + "\0", x + "a", rng.choice(left)]) for x in left]
+        want = [lines.jaccard(lines.shingle_set(a, width), lines.shingle_set(b, width)) >= 0.8 for a, b in zip(left, right, strict=True)]
+        assert lines.similar_lines(left, right, width, 0.8) == want
+    assert lines.similar_lines(["abc"], ["abc" + "\0" * 10], 13, 0.8) == [False]
+    assert [len(x) for x in lines.packed_shingles(["abababab", "ab", "abc"], 3)] == [2, 1, 1]
+    assert [x is None for x in lines.packed_shingles(["abcabc" * 9, wide, "cab" * 9], 8)] == [False, True, False]
+
+
+def test_line_similarity_in_short_runs(monkeypatch):
+    left = ["abcdefghij" * 3, "klmnopqrst" * 3, "uvwxyz" * 5, "abc"]
+    right = ["abcdefghij" * 4, "klmnopqrsu" * 3, "uvwxyz" * 6, "abd"]
+    want = [lines.jaccard(lines.shingle_set(a, 8), lines.shingle_set(b, 8)) >= 0.8 for a, b in zip(left, right, strict=True)]
+    monkeypatch.setattr(lines, "PAIR_CHARS", 64)
+    assert lines.similar_lines(left, right, 8, 0.8) == want == [True, False, True, False]
+
+
+def test_lines_are_read_twice(spark, rows):
+    """Once for the band keys, once for the places and the texts of lines that may be linked."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = table(spark, rows)
+    lines.fuzzy_line_classes(docs.mapInArrow(count, docs.schema)).collect()
+    assert seen.value == 2 * len(rows)
+
+
 def line_classes(spark, found_lines):
     keys = lines.band_keys(lines.signatures(found_lines, 8, 70), 5)
     want = meeting_classes(found_lines, keys, lambda a, b: lines.similar_lines([a], [b], 8, 0.8)[0])
